@@ -28,7 +28,7 @@ BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
 CHOICES = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS))
 #: Runs up to this length are compared by shifts of the whole column, longer ones block by block.
 SHORT = 48
-TILE = 2048
+TILE = 1024
 #: Beyond this length a run is split again by pigeonhole before any comparison.
 LONG = 16384
 
@@ -101,30 +101,38 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` after the links (a, b) as well."""
+    a, b = root[a], root[b]
+    new = a != b
+    if not new.any():
+        return root
+    inside, ends = np.unique(np.r_[a[new], b[new]], return_inverse=True)
+    to = np.arange(len(root))
+    to[inside] = inside[_forest(len(inside), *np.split(ends, 2))]
+    return to[root]
+
+
 def _linked(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For whole runs of equal keys: as few links as connect all that are close, not all pairs."""
     cut = np.nonzero(np.diff(keys))[0] + 1
     first, last = np.r_[0, cut], np.r_[cut, len(keys)]
     length = last - first
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    root = np.arange(len(keys))
     for k in np.nonzero(length > SHORT)[0]:
-        at = np.arange(first[k], last[k])
-        found += _close(values[at], at)
+        own, at = np.arange(length[k]), np.arange(length[k])
+        for a, b in _close(values[first[k] : last[k]], at):
+            own = _joined(own, a, b)
+        root[first[k] : last[k]] = own + first[k]
     left = np.repeat(np.where(length > SHORT, 0, last), length) - np.arange(len(keys))
     for step in range(1, SHORT):
         at = np.nonzero(left > step)[0]
         if not len(at):
             break
-        near = np.bitwise_count(values[at] ^ values[at + step]) <= MAX_BITS
-        found.append((at[near], at[near] + step))
-    a = np.concatenate([x for x, _ in found] or [np.zeros(0, int)])
-    b = np.concatenate([x for _, x in found] or [np.zeros(0, int)])
-    if not len(a):
-        return values[:0], values[:0]
-    inside = np.unique(np.r_[a, b])
-    root = inside[_forest(len(inside), np.searchsorted(inside, a), np.searchsorted(inside, b))]
-    moved = root != inside
-    return values[inside[moved]], values[root[moved]]
+        near = at[np.bitwise_count(values[at] ^ values[at + step]) <= MAX_BITS]
+        root = _joined(root, near, near + step)
+    moved = root != np.arange(len(keys))
+    return values[moved], values[root[moved]]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
