@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import bpe, mixing, simhash
 from tidemark.llm.util import read
 
+
+def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, table))
+
+
 QUERIES = {
-    "op2_simhash_near_dedup": lambda spark, sf_dir: simhash.op2(read(spark, sf_dir, "documents")),
+    "op2_simhash_near_dedup": _over("documents", simhash.op2),
+    "op3_byte_bpe": _over("documents", bpe.op3),
+    "op10_mixing": _over("documents", mixing.op10),
+}
+ORACLES = {
+    "op10_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
