@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, simhash
+from tidemark.llm import bpe, chat, licenses, mixing, simhash
 from tidemark.llm.util import read
 
 
@@ -17,8 +17,11 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 QUERIES = {
     "op2_simhash_near_dedup": _over("documents", simhash.op2),
     "op3_byte_bpe": _over("documents", bpe.op3),
+    "op4_chat_formatting": _over("conversations", chat.op4),
+    "op6_license_scan": _over("documents", licenses.op6),
     "op10_mixing": _over("documents", mixing.op10),
 }
 ORACLES = {
+    "op4_chat_formatting": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
