@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, licenses, mixing, simhash
+from tidemark.llm import bpe, chat, langid, licenses, mixing, quality, simhash
 from tidemark.llm.util import read
 
 
@@ -15,10 +15,14 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 
 QUERIES = {
+    "op1_language_id": _over("documents", langid.op1),
     "op2_simhash_near_dedup": _over("documents", simhash.op2),
     "op3_byte_bpe": _over("documents", bpe.op3),
     "op4_chat_formatting": _over("conversations", chat.op4),
     "op6_license_scan": _over("documents", licenses.op6),
+    "op8_quality_classifier": lambda spark, sf_dir: quality.op8(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ),
     "op10_mixing": _over("documents", mixing.op10),
 }
 ORACLES = {
