@@ -3,16 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm import bpe, mixing, quality, simhash, suffixdedup
+from tidemark.llm.util import read, remainder, written
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from labels whose key's remainder by 5 is not 0."""
+    labels = read(spark, sf_dir, "labels")
+    return quality.keep_good(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.first_of_each(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of long repeats; ``n_chars`` follows the text."""
+    cut = suffixdedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights, documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their ``token_ids``, which decode to the text."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality", good),
+    ("near-duplicates", distinct),
+    ("repeats", unrepeated),
+    ("mixture", mixed),
+    ("tokens", tokens),
+]
+#: SQL cannot express the classifier, the suffix sort and the encoding; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each one's rows written before the next reads them."""
-    from tidemark.llm.util import read, written
-
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
