@@ -1,0 +1 @@
+"""Relational operators over DataFrames: one Catalyst plan each, nothing collected."""
