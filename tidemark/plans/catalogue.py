@@ -242,7 +242,7 @@ query("mart_daily_sales_v1", "SELECT order_date, source_currency AS currency, or
 query("mart_customer_value", """SELECT customer_id, max(customer_sk) AS customer_sk, count(*) AS order_count, sum(order_total_dkk)::DECIMAL(18,2) AS known_value_dkk, count(*) FILTER (missing_dkk_rate) AS missing_rate_order_count,
   max(order_date) AS last_order_date, max(orphan_customer::INTEGER) AS orphan_customer_flag FROM fct_orders GROUP BY customer_id""",
       lambda s: gold.mart_customer_value(s.fct_orders))
-query("mart_customer_value_v1", """SELECT customer_sk, customer_id, count(*) AS order_count, sum(source_order_total)::DECIMAL(18,2) AS total_spend, round(avg(source_order_total::DOUBLE), 4) AS avg_order_value, max(order_date) AS last_order_date
+query("mart_customer_value_v1", """SELECT customer_sk, customer_id, count(*) AS order_count, sum(source_order_total)::DECIMAL(18,2) AS total_spend, ((CAST(sum(source_order_total) * 100 AS BIGINT) * 200 + count(*)) // (2 * count(*))) / 10000.0::DOUBLE AS avg_order_value, max(order_date) AS last_order_date
   FROM fct_orders WHERE customer_sk IS NOT NULL GROUP BY customer_sk, customer_id""",
       lambda s: gold.mart_customer_value_v1(s.fct_orders))
 query("reconciliation_orders", """SELECT a.*, b.*, source_key_count - source_distinct_key_count AS source_duplicate_count, gold_key_count - gold_distinct_key_count AS gold_duplicate_count FROM
@@ -272,8 +272,8 @@ query("event_dedup_by_id", "SELECT event_type, min(event_id) AS event_id FROM ev
       lambda s: s.events.groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id")).select("event_type", "event_id"))
 
 # Reconciliation and quality.
-query("anti_join_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-      lambda s: s.customer.join(s.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
+query("anti_join_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+      lambda s: s.customer.join(s.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
 query("recon_bidirectional_anti", "SELECT 'source_not_silver' AS exception_type, order_id FROM stg_orders WHERE order_id NOT IN (SELECT order_id FROM prior_orders) UNION ALL SELECT 'silver_not_source', order_id FROM prior_orders WHERE order_id NOT IN (SELECT order_id FROM stg_orders WHERE order_status <> 'cancelled') AND order_status = 'none'",
       lambda s: quality.missing_both_ways(s.stg_orders, s.prior_orders, "order_id", ("source_not_silver", "silver_not_source")))
 query("recon_left_is_null", "SELECT 'silver_not_gold' AS exception_type, c.order_id FROM core_orders c LEFT JOIN stg_orders s ON c.order_id = s.order_id WHERE s.order_id IS NULL",
