@@ -361,7 +361,8 @@ def repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         texts.mapInArrow(_first_pass, "rid long, n_bytes long, sha string, gram long, anchor int, first int, last int"), "anchors"
     )
     found = passed.where("gram IS NOT NULL").select("rid", "gram", "anchor", "first", "last")
-    twice = found.groupBy("gram").count().where("count > 1").select("gram")
+    # A table of its own, so that both sides of the join are plain shuffles and a very common gram is split.
+    twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     again = found.join(twice, "gram", "left_semi")
     listed = again.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last")).alias("anchors"))
     suspects = written(texts.join(listed, "rid"), "suspects")
