@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.util import streamed
+
 LEAF = 64
 #: Encoded matches remembered by a worker; the memory is emptied when full.
 REMEMBERED = 400_000
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
                 ids = pa.array([own.encode(x.as_py()) for x in part.column(at)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*rest, "token_ids"])
 
-    return frame.mapInArrow(run, schema)
+    return streamed(frame).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "token_ids") -> DataFrame:
@@ -201,7 +203,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "token_ids") ->
             texts = pa.array([own.decode(x.as_py() or ()) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*rest, "decoded"])
 
-    return frame.mapInArrow(run, schema)
+    return streamed(frame).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -223,7 +225,7 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: s
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return frame.mapInArrow(run, schema)
+    return streamed(frame).mapInArrow(run, schema)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import remainder, written
+from tidemark.llm.util import remainder, streamed, written
 
 ORDER = 4
 START, END = 2, 3
@@ -232,7 +232,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, rows: int = ROWS) -> Model | None:
     """A calibrated model from the (doc_id, text, lang) of ``docs``; None if no row has a language and a letter."""
     taken = written(sample(docs, rows), "language-sample")
-    counts = taken.where("NOT calibrates").select("text", "lang").mapInArrow(_words, "lang string, word string")
+    counts = streamed(taken.where("NOT calibrates").select("text", "lang")).mapInArrow(_words, "lang string, word string")
     counts = counts.groupBy("lang", "word").count()
     line = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     kept = counts.withColumn("n", F.row_number().over(line)).where(F.col("n") <= WORDS).select("lang", "word", "count")
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model | None:
             total, n = memory.texts(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n), pa.array([*total])], ["lang", "n", "total"])
 
-    seen = taken.where("calibrates").select("text", "lang").mapInArrow(run, "lang string, n long, total array<double>")
+    seen = streamed(taken.where("calibrates").select("text", "lang")).mapInArrow(run, "lang string, n long, total array<double>")
     seen = seen.where("n > 0").toPandas()
     seen = seen[seen["lang"].isin(model.languages)]
     model.limits = np.full(len(model.languages), np.inf)
@@ -292,7 +292,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
-    return frame.mapInArrow(run, schema)
+    return streamed(frame).mapInArrow(run, schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import remainder, written
+from tidemark.llm.util import remainder, streamed, written
 
 TERMS = 2048
 DIMENSIONS = 48
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters
             columns = [batch.column(1), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([r[x] for r, x in zip(rows, at)], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["quality", "term", "share"])
 
-    found = taken.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "quality int, term array<int>, share array<double>")
+    found = streamed(taken.select("text", F.col("quality").cast("int").alias("quality"))).mapInArrow(run, "quality int, term array<int>, share array<double>")
     found = written(found, "labelled").orderBy("quality", "term", "share").limit(labelled).toPandas()
     if found.empty:
         return None
@@ -148,7 +148,7 @@ def score(docs: DataFrame, voters: Voters | None, keep: tuple[str, ...] = ("doc_
                 of[k : k + BLOCK] = own.score(np.stack([terms(t.as_py(), shapes) for t in texts[k : k + BLOCK]]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(of)], names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return streamed(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.util import LOWER_BYTES, written
+from tidemark.llm.util import LOWER_BYTES, streamed, written
 
 SHINGLE = 4
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             of = np.array([fingerprint(t.as_py()) for t in batch.column(len(keep))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(of)], [*keep, "fp"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return streamed(docs.select(*keep, F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
 def _tiles(values: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -163,7 +163,7 @@ def links(distinct: DataFrame) -> DataFrame:
         keys.append(key)
     filed = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
     met = filed.repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(_runs, "a long, b long")
+    return streamed(met).mapInArrow(_runs, "a long, b long")
 
 
 def _classes(marked: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import written
+from tidemark.llm.util import streamed, written
 
 LENGTH = 400
 GRAM = 64
@@ -358,7 +358,7 @@ def repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For a stored (rid, text): each row's (rid, n_bytes, sha), and (rid, n_removed, n_spans, kept_sha, kept) of those with repeats."""
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     passed = written(
-        texts.mapInArrow(_first_pass, "rid long, n_bytes long, sha string, gram long, anchor int, first int, last int"), "anchors"
+        streamed(texts).mapInArrow(_first_pass, "rid long, n_bytes long, sha string, gram long, anchor int, first int, last int"), "anchors"
     )
     found = passed.where("gram IS NOT NULL").select("rid", "gram", "anchor", "first", "last")
     # A table of its own, so that both sides of the join are plain shuffles and a very common gram is split.
@@ -370,13 +370,13 @@ def repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
     parts = max(parts, -(-many * 2 * LENGTH // PART))
     runs = written(
-        suspects.mapInArrow(_second_pass(parts), "part int, block binary, rid long, start int, stop int"), "runs"
+        streamed(suspects).mapInArrow(_second_pass(parts), "part int, block binary, rid long, start int, stop int"), "runs"
     )
     dealt = runs.where("part IS NOT NULL").select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
-    spans = dealt.mapInArrow(_merge_pass, "rid long, start int, stop int")
+    spans = streamed(dealt).mapInArrow(_merge_pass, "rid long, start int, stop int")
     spans = spans.unionByName(runs.where("part IS NULL").select("rid", "start", "stop"))
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = suspects.select("rid", "text").join(spans, "rid").mapInArrow(
+    cut = streamed(suspects.select("rid", "text").join(spans, "rid")).mapInArrow(
         _cut, "rid long, n_removed long, n_spans long, kept_sha string, kept string"
     )
     return passed.where("gram IS NULL").select("rid", "n_bytes", "sha"), cut

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.util import streamed
 from tidemark.llm.vectors import best, meetings, taking_part
 
 SCALE = 64
@@ -115,7 +116,7 @@ def search(frame: DataFrame, queries: Column, k: int = K, key: str = "vec_id", v
     # The stated queries meet every block once, in streams.
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).cast("byte").alias("asks"), "vec_id", "vector")
     both = filed.unionByName(asked).select(F.xxhash64("block", size).alias("key"), "asks", "vec_id", "vector")
-    met = both.repartition("key").sortWithinPartitions("key", "asks").mapInArrow(scored, "query_id long, vec_id long, score long")
+    met = streamed(both.repartition("key").sortWithinPartitions("key", "asks")).mapInArrow(scored, "query_id long, vec_id long, score long")
     return best(met, k, F.col("score").desc(), F.max("score"))
 
 

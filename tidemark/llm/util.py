@@ -14,6 +14,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: White space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +39,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def streamed(frame: DataFrame) -> DataFrame:
+    """``frame``, after its session was told to hand Arrow batches of a few MB to Python, however long the texts are."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return frame
+
+
 def discard(frame: DataFrame) -> None:
     """Removes what ``written`` wrote, once nothing reads it any more."""
     spark = frame.sparkSession
