@@ -12,6 +12,7 @@ from tidemark.functions import exprs as X
 from tidemark.functions import rules as R
 from tidemark.operators import backfill, cdc, quality, silver
 from tidemark.plans import adapters, gold, oracles
+from tidemark.sources import landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,7 +127,7 @@ query("optional_column_null", "SELECT location_id, location_type, NULL::VARCHAR
       lambda s: (lambda f: f.select("location_id", X.optional(f, "location_type").alias("location_type"), X.optional(f, "opened_by").alias("opened_by")))(s.silver_locations))
 query("landing_envelope", """SELECT n_nationkey, n_name, 'run-7' AS ingestion_id, 'postgres' AS source_name, 'nation' AS source_entity, CAST(n_nationkey AS VARCHAR) AS source_record_key, NULL::VARCHAR AS source_extract_ts,
   '2024-01-01T00:00:00Z' AS ingested_at, 'v1' AS source_version, 'nation#' || n_nationkey AS source_locator, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS record_hash FROM nation""",
-      lambda s: __import__("tidemark.sources.landing", fromlist=["x"]).envelope(s.nation.select("n_nationkey", "n_name"), ingestion_id="run-7", source_name="postgres", source_entity="nation",
+      lambda s: landing.envelope(s.nation.select("n_nationkey", "n_name"), ingestion_id="run-7", source_name="postgres", source_entity="nation",
           key=("n_nationkey",), ingested_at="2024-01-01T00:00:00Z", source_version="v1", locator=F.concat(F.lit("nation#"), "n_nationkey")))
 query("payload_to_json", """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}' AS payload FROM customer""",
       lambda s: s.customer.select("c_custkey", X.canonical_json(["c_name", "c_custkey", "c_mktsegment"]).alias("payload")))
@@ -202,7 +203,7 @@ query("batch_reconciliation", """SELECT count(*) AS input_count, count(*) FILTER
   (SELECT count(*) FROM outcomes WHERE outcome = 'update') AS updated_count, (SELECT count(*) FROM outcomes WHERE outcome = 'unchanged') AS unchanged_count FROM rates_checked""",
       lambda s: silver.counters(s.rates_checked, "exchange_rates", silver.classify(s.winners, s.silver_target, RATE_KEYS, newer_rate())))
 query("content_checksum", """SELECT sha256('["' || string_agg(h, '","' ORDER BY h) || '"]') AS checksum FROM (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS h FROM nation)""",
-      lambda s: __import__("tidemark.sources.landing", fromlist=["x"]).content_checksum(s.nation.select("n_nationkey", "n_name")))
+      lambda s: landing.content_checksum(s.nation.select("n_nationkey", "n_name")))
 query("run_summary", "SELECT count(*) AS outcomes, sum(n_chars)::BIGINT AS record_count, list_sort(list_distinct(list(lang))) AS statuses FROM documents",
       lambda s: s.documents.agg(n().alias("outcomes"), F.sum("n_chars").alias("record_count"), F.array_sort(F.collect_set("lang")).alias("statuses")))
 query("schema_evolution_union", "SELECT r_regionkey AS id, r_name AS name, NULL::VARCHAR AS source_note FROM region UNION ALL SELECT n_nationkey, n_name, 'added' FROM nation",

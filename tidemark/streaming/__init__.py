@@ -1,0 +1 @@
+"""Structured Streaming: change capture into ledgers, raw archives and windowed repeats."""
