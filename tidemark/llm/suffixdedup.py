@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.util import streamed, written
 
@@ -202,6 +203,17 @@ def merged(runs: list[Iterator[tuple[int, tuple]]]) -> Iterator[tuple[int, tuple
             node //= 2
 
 
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(rid, start, stop) with overlapping and touching spans of a text made one."""
+    out: list[list[int]] = []
+    for rid, start, stop in sorted(spans):
+        if out and out[-1][0] == rid and start <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], stop)
+        else:
+            out.append([rid, start, stop])
+    return [tuple(x) for x in out]
+
+
 def _second_pass(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(rid, text, anchors) to sorted runs by part, and to what repeats inside a run (part null)."""
@@ -216,6 +228,7 @@ def _second_pass(parts: int):
                 if known:
                     spans += [(rid, at - len(left), at + len(right)) for rid, at in places]
             held.clear()
+            spans = united(spans)
             blocks = [(part, pack(sorted(run))) for part, run in runs.items()]
             n, m = len(blocks), len(spans)
             rid, start, stop = zip(*spans) if spans else ((), (), ())
@@ -320,7 +333,7 @@ def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 group, shared = [], []
             group.append(x)
             shared.append(n)
-        spans += resolve(group, shared)
+        spans = united([*spans, *resolve(group, shared)])
         rid, start, stop = zip(*spans) if spans else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["rid", "start", "stop"])
 
@@ -336,12 +349,12 @@ def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, spans) to what is left of each text."""
+    """(text, spans, what else) to the latter with removed bytes, spans, digest and rest of each text."""
     for batch in batches:
         rows = []
-        for text, spans in zip(batch.column(1), batch.column(2)):
+        for text, spans in zip(batch.column(0), batch.column(1)):
             data, n, runs, at, kept = text.as_py().encode(), 0, 0, 0, []
-            for start, stop in sorted((x["start"], x["stop"]) for x in spans.as_py()):
+            for start, stop in sorted((x["start"], x["stop"]) for x in spans.as_py() or ()):
                 if start > at or not runs:
                     kept.append(data[at:start])
                     runs, at = runs + 1, start
@@ -351,11 +364,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(kept)
             rows.append((n, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rid", "n_removed", "n_spans", "kept_sha", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], [*batch.schema.names[2:], "n_removed", "n_spans", "kept_sha", "kept"])
+
 
+def repeats(rows: DataFrame, how: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For a stored (rid, text, ...): digests (rid, n_bytes, sha) of all rows, the rows with their ``anchors``, and (rid, spans) of what repeats.
 
-def repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For a stored (rid, text): each row's (rid, n_bytes, sha), and (rid, n_removed, n_spans, kept_sha, kept) of those with repeats."""
+    ``how`` joins rows and anchors: ``inner`` keeps the rows that have anchors, ``left`` all.
+    The joined rows are stored, so the texts are shuffled once.
+    """
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     passed = written(
         streamed(texts).mapInArrow(_first_pass, "rid long, n_bytes long, sha string, gram long, anchor int, first int, last int"), "anchors"
@@ -365,21 +382,27 @@ def repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     again = found.join(twice, "gram", "left_semi")
     listed = again.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last")).alias("anchors"))
-    suspects = written(texts.join(listed, "rid"), "suspects")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = written(rows.join(listed, "rid", how), "suspects")
+    suspects = joined.where("anchors IS NOT NULL")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
     parts = max(parts, -(-many * 2 * LENGTH // PART))
     runs = written(
-        streamed(suspects).mapInArrow(_second_pass(parts), "part int, block binary, rid long, start int, stop int"), "runs"
+        streamed(suspects.select("rid", "text", "anchors")).mapInArrow(_second_pass(parts), "part int, block binary, rid long, start int, stop int"),
+        "runs",
     )
     dealt = runs.where("part IS NOT NULL").select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
     spans = streamed(dealt).mapInArrow(_merge_pass, "rid long, start int, stop int")
     spans = spans.unionByName(runs.where("part IS NULL").select("rid", "start", "stop"))
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = streamed(suspects.select("rid", "text").join(spans, "rid")).mapInArrow(
-        _cut, "rid long, n_removed long, n_spans long, kept_sha string, kept string"
-    )
-    return passed.where("gram IS NULL").select("rid", "n_bytes", "sha"), cut
+    return passed.where("gram IS NULL").select("rid", "n_bytes", "sha"), joined, spans
+
+
+def _without(frame: DataFrame, *keep: str) -> DataFrame:
+    """(text, spans, kept columns) to the kept columns and what ``_cut`` adds."""
+    added = StructType.fromDDL("n_removed long, n_spans long, kept_sha string, kept string")
+    schema = StructType([*frame.select(*keep).schema.fields, *added.fields])
+    return streamed(frame.select("text", "spans", *keep)).mapInArrow(_cut, schema)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -388,23 +411,24 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     Null texts stay null and match nothing. A character of which some bytes go, goes.
     Repeated rows are rows of their own and repeat each other.
     """
+    others = [c for c in docs.columns if c != text]
     packed = docs.select(
-        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[text].alias("text"),
+        F.struct(F.lit(0).alias("_"), *(docs[f"`{c}`"] for c in others)).alias("row"), docs[text].alias("text"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    rows = written(packed.withColumn("row", F.col("row").dropFields(f"`{text}`")) if len(docs.columns) > 1 else packed, "documents")
-    _, cut = repeats(rows)
-    found = rows.join(cut.select("rid", "kept"), "rid", "left").withColumn("text", F.coalesce("kept", "text"))
-    if len(docs.columns) == 1:
-        return found.select(F.col("text").alias(text))
+    _, joined, spans = repeats(written(packed, "documents"), "left")
+    clean = joined.where("anchors IS NULL").select("row", "text")
+    cut = _without(joined.where("anchors IS NOT NULL").drop("anchors").join(spans, "rid", "left"), "row")
+    found = clean.unionByName(cut.select("row", F.col("kept").alias("text")))
     return found.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; null texts are empty."""
     rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), "documents")
-    whole, cut = repeats(rows)
-    found = rows.select("rid", "doc_id").join(whole, "rid").join(cut.drop("kept"), "rid", "left")
+    whole, joined, spans = repeats(rows, "inner")
+    cut = _without(joined.select("rid", "text").join(spans, "rid"), "rid").drop("kept")
+    found = rows.select("rid", "doc_id").join(whole, "rid").join(cut, "rid", "left")
     none = F.lit(0).cast("long")
     return found.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
