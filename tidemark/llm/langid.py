@@ -34,7 +34,7 @@ ROWS, WORDS = 400, 60_000
 CALIBRATE = 5
 REJECTED = 0.995
 #: Scored words remembered by a worker.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LETTERS = regex.compile(r"\p{L}+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,34 +157,54 @@ def train(counts: dict[str, tuple[list[str], np.ndarray]]) -> Model:
 
 
 class Memory(dict):
-    """Words to their places in ``rows``; new words wait in ``new`` until they are scored."""
+    """Words to their places in ``rows``; new words wait in ``new`` until they are scored together."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.new = model, []
-        self.rows, self.lengths = np.zeros((0, len(model.languages))), np.zeros(0, np.int64)
+        self.rows = np.zeros((1 << 14, len(model.languages) + 1))  # log probabilities, then symbols
 
     def __missing__(self, word: str) -> int:
         self[word] = place = len(self)
         self.new.append(word)
         return place
 
+    def settle(self) -> None:
+        """Scores the new words."""
+        if not self.new:
+            return
+        if len(self) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]))])
+        at = slice(len(self) - len(self.new), len(self))
+        self.rows[at, :-1], self.rows[at, -1] = self.model.score(self.new)
+        self.new = []
+
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text in each language, and its symbols (0: no letter)."""
         if len(self) > REMEMBERED:
             self.__init__(self.model)
-        n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.model.languages)))
+            self.clear()
+        sums = np.zeros((len(texts), len(self.model.languages) + 1))
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def add() -> None:
+            self.settle()
+            for k, places in waiting:
+                sums[k] += self.rows[places].sum(0)
+            waiting.clear()
+
         for k, text in enumerate(texts):
             for part in _parts(text):
                 places = np.array([*map(self.__getitem__, LETTERS.findall(part))], np.int64)
-                if self.new:
-                    rows, lengths = self.model.score(self.new)
-                    self.rows, self.lengths = np.r_[self.rows, rows], np.r_[self.lengths, lengths]
-                    self.new = []
                 if len(places):
-                    n[k] += self.lengths[places].sum()
-                    total[k] += self.rows[places].sum(0)
-        return total, n
+                    waiting.append((k, places))
+                    held += len(places)
+                if held > 1 << 19:
+                    add()
+                    held = 0
+        add()
+        return sums[:, :-1], sums[:, -1].astype(np.int64)
 
 
 def _parts(text: str | None, size: int = 1 << 20) -> Iterator[str]:
