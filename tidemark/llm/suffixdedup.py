@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.util import streamed, written
+from tidemark.llm.util import discard, streamed, written
 
 LENGTH = 400
 GRAM = 64
@@ -383,6 +383,10 @@ def repeats(rows: DataFrame, how: str) -> tuple[DataFrame, DataFrame, DataFrame]
     again = found.join(twice, "gram", "left_semi")
     listed = again.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last")).alias("anchors"))
     joined = written(rows.join(listed, "rid", how), "suspects")
+    discard(twice)
+    if how == "left":  # the joined rows are all there is to them now
+        discard(rows)
+        discard(passed)
     suspects = joined.where("anchors IS NOT NULL")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
