@@ -29,8 +29,8 @@ SEED = "mix-1"
 BINS = 64
 
 
-def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
-    """From (source, size) the columns source, source_size, n_rows, target.
+def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
+    """From (src, source, source_size) of each source its target added.
 
     Sources by code point, null last, weigh ``weights`` in turn and share ``share`` of all
     sizes. A target stops at ``repeat`` times its source's size; the excess goes to the others
@@ -38,70 +38,63 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     a source stops while its stop / weight is below the level the rest would get. The windows
     below run over one row a source.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     # Binary order of UTF-8 is code point order.
-    line = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(line) - 1) % len(weights)
+    by_name = (F.col("source").isNull(), F.col("source"))
+    turn = (F.row_number().over(Window.orderBy(*by_name)) - 1) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")
-    totals = totals.withColumn("weight", weight)
-    level = F.col("stop") / F.col("weight")
-    filled = Window.orderBy("level", F.col("source").isNull(), "source")
+    rows = totals.withColumn("weight", weight).withColumn("stop", F.lit(repeat) * F.col("source_size"))
+    rows = rows.withColumn("level", F.col("stop") / F.col("weight"))
+    rows = rows.withColumn("all", F.lit(share) * F.sum("source_size").over(Window.partitionBy()))
+    filled = Window.orderBy("level", *by_name)
     before, rest = filled.rowsBetween(Window.unboundedPreceding, -1), filled.rowsBetween(0, Window.unboundedFollowing)
-    totals = totals.withColumn("stop", F.lit(repeat) * F.col("source_size")).withColumn("level", level)
-    totals = totals.withColumn("all", F.lit(share) * F.sum("source_size").over(Window.partitionBy()))
-    totals = totals.withColumn(
+    rows = rows.withColumn(
         "open", (F.col("all") - F.coalesce(F.sum("stop").over(before), F.lit(0))) / F.sum("weight").over(rest)
     )
     # The first level that is not above its stop holds for it and all after it.
-    first = F.first(F.when(F.col("level") >= F.col("open"), F.col("open")), ignorenulls=True).over(
+    holds = F.first(F.when(F.col("level") >= F.col("open"), F.col("open")), ignorenulls=True).over(
         filled.rowsBetween(Window.unboundedPreceding, 0)
     )
     stop = F.col("stop").cast("double")
-    target = F.least(stop, F.coalesce(F.col("weight") * first, stop))
-    return totals.withColumn("target", target).select("source", "source_size", "n_rows", "target")
+    return rows.select("src", "source_size", F.least(stop, F.coalesce(F.col("weight") * holds, stop)).alias("target"))
 
 
 def plan(rows: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """From (rid, doc_id, source, size) the columns with ``source_size``, ``target`` and ``copies`` added.
+    """(rid, doc_id, source, size, ...) with ``source_size``, ``target`` and ``copies`` added.
 
     A source without words has target 0 and is taken never. Rows of one bin stand by
-    (doc_id, rid); a null doc_id stands first.
+    (doc_id, rid); a null doc_id stands first. ``rows`` are read twice, for the counts and
+    for the places, and are shuffled once, with whatever they carry.
     """
+    key = ["src", "class", "size", "bin"]
     wide = rows.withColumns(
         {
+            "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
             "class": F.when(F.col("size") > 0, F.floor(8 * F.log2(F.col("size")))).otherwise(-1).cast("int"),
             "bin": F.coalesce(
                 F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("int") % BINS, F.lit(0)
             ),
         }
     )
-    wide = written(wide, "sizes")
-    counts = wide.groupBy("source", "class", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
-    by_class = counts.groupBy("source", "class").agg(F.sum("n").alias("n"))
-    line = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    by_class = by_class.select("source", "class", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("class_first"))
-    inner = Window.partitionBy("source", "class").orderBy("size", "bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("bin_first", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-
-    goal = targets(wide, **shares)
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    goal = goal.withColumn("offset", draw)
-
-    def with_source(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-        renamed = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-        same = [left[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
-        return left.join(renamed, same).drop(*(f"_{k}" for k in keys))
-
-    places = with_source(with_source(counts, by_class, "source", "class"), goal, "source")
-    places = places.withColumn("first", F.col("class_first") + F.col("bin_first"))
-    places = places.select("source", "class", "size", "bin", "first", "source_size", "target", "rate", "offset")
-    own = Window.partitionBy("source", "class", "size", "bin").orderBy("doc_id", "rid")
-    placed = with_source(wide.withColumn("place", F.row_number().over(own)), places, "source", "class", "size", "bin")
+    counts = written(wide.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")), "counts")
+    by_class = counts.groupBy("src", "class").agg(F.sum("n").alias("n"))
+    line = Window.partitionBy("src").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    by_class = by_class.select("src", "class", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("class_first"))
+    inner = Window.partitionBy("src", "class").orderBy("size", "bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.select(*key, F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("bin_first"))
+
+    totals = counts.groupBy("src").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    goal = targets(totals, **shares)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "src")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = goal.withColumns({"rate": rate, "offset": draw})
+
+    places = bins.join(by_class, ["src", "class"]).join(goal, "src")
+    places = places.withColumn("first", F.col("class_first") + F.col("bin_first")).drop("class_first", "bin_first")
+    own = Window.partitionBy(*key).orderBy("doc_id", "rid")
+    placed = wide.withColumn("place", F.row_number().over(own)).join(places, key)
     at = F.col("first") + F.col("place")
     crossed = F.floor(F.col("offset") + at * F.col("rate")) - F.floor(F.col("offset") + (at - 1) * F.col("rate"))
-    return placed.select("rid", "doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return placed.select(*rows.columns, "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -112,15 +105,17 @@ def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 
 
 def mix(docs: DataFrame, **shares) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with all their columns."""
+    """The documents of the mix, each as often as it is taken, with all their columns.
+
+    ``docs`` are read twice: give stored rows, not a plan that may change.
+    """
     rows = docs.select(
         F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
         docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    rows = written(rows, "documents")
-    taken = plan(rows.select("rid", "doc_id", "source", "size"), **shares).where("copies > 0").select("rid", "copies")
-    copies = rows.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    taken = plan(rows, **shares).where("copies > 0")
+    copies = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return copies.select("row.*")
 
 
@@ -130,7 +125,7 @@ def op10(docs: DataFrame) -> DataFrame:
     Null texts have size 0; null sources are one source, last in line; repeated rows are
     rows of their own; an empty table gives an empty result.
     """
-    return plan(sized(docs)).select(
+    return plan(written(sized(docs), "sizes")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
