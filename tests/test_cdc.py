@@ -143,3 +143,28 @@ def test_archive_and_once_by_id(spark, tmp_path):
     query = stream.once_by_id(twice).writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start()
     query.awaitTermination()
     assert spark.table("once").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_log_ledger(spark, tmp_path):
+    def message(k, op, lsn, pk="o1", after=True, status="created", tx=None):
+        value = {"op": op, "before": {"order_id": pk}, "after": {"order_id": pk, "order_status": status, "order_total": "12.50", "order_ts": "2024-01-01T00:00:00Z"} if after else None, "source": {"lsn": lsn}}
+        return ("s.commerce.orders", 0, k, None, json.dumps(value) if tx is None else json.dumps(value | {"transaction": tx}), k)
+
+    schema = "topic string, part int, off bigint, key string, value string, seq bigint"
+    ledger = stream.LogLedger(Store(spark, f"{tmp_path}/store"))
+    one = [message(0, "c", "0/10"), message(1, "u", "0/11", status="completed"), message(2, "u", "0/F"), ("s.commerce.orders", 0, 3, None, None, 3), ("s.commerce.orders", 0, 4, None, "[]", 4), message(5, "d", "0/5", "o9", after=False)]
+    out = ledger.apply(spark.createDataFrame(one, schema), 0)
+    assert {(r.pk, r.seq): r.change_type for r in out["changes"].collect()} == {("o1", 0): "insert", ("o1", 1): "update_after"}
+    assert [r.decision for r in out["ignored"].collect()] == ["lower_lsn"] and [r.reason for r in out["rejected"].collect()] == ["invalid_json"]
+    rows = cdc.typed(ledger.state.read(), "orders").collect()
+    assert [(r.order_id, r.order_status, str(r.order_total)) for r in rows] == [("o1", "completed", "12.50")]
+    two = [message(6, "u", "0/11"), message(7, "d", "0/12", after=False), message(8, "u", "0/10"), message(9, "c", "0/4", "o9")]
+    out = ledger.apply(spark.createDataFrame(two, schema), 1)
+    assert {(r.pk, r.seq): r.change_type for r in out["changes"].collect()} == {("o1", 7): "delete"}
+    assert sorted(r.decision for r in out["ignored"].collect()) == ["equal_position_conflict", "lower_lsn", "lower_lsn"]
+    spark.createDataFrame(one + two, schema).coalesce(1).write.parquet(f"{tmp_path}/all")
+    streamed = stream.LogLedger(Store(spark, f"{tmp_path}/other"))
+    stream.run_log(spark.readStream.schema(schema).parquet(f"{tmp_path}/all"), streamed, f"{tmp_path}/c").awaitTermination()
+    same = lambda x: sorted(map(str, x.state.read().select("entity", "pk", "lsn", "is_deleted").collect()))
+    assert same(streamed) == same(ledger)
+    assert ledger.state.read().where("is_deleted").count() == 2 and ledger.apply(spark.createDataFrame(two, schema), 1) is None

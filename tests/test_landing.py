@@ -270,3 +270,49 @@ def test_events():
     for wrong in ({"status": "odd"}, {"record_count": -1}, {"component": ""}):
         with pytest.raises(ValueError):
             emit(**({"component": "a", "action": "b", "run_identity": "c", "status": "noop"} | wrong))
+
+
+def test_runner(spark, tmp_path):
+    from tidemark.sources import runner
+
+    source = lambda **kw: {"contract_version": "v1", "enabled": True, "max_records": 5} | kw
+    made = registry.Registry.parse(json.dumps({"registry_version": registry.VERSION, "sources": [
+        source(source_id="rates", source_type="rest_api", source_entity="exchange_rates", endpoint_env="URL", allowed_hosts=["h"]),
+        source(source_id="categories", source_type="csv_file", source_entity="product_categories", local_path="c.csv"),
+        source(source_id="devices", source_type="json_file", source_entity="devices", local_path="d.json"),
+    ]}))
+    (Path(tmp_path) / "c.csv").write_text("category_code,category_name,sort_order\nc1,One,1\n")
+    (Path(tmp_path) / "d.json").write_text('[{"device_id": "d", "location_id": "l", "device_type": "t", "device_status": "s", "updated_at": "never"}]')
+    publisher, told = Publisher(Store(spark, f"{tmp_path}/lake")), []
+    emit = Emitter(lambda line: told.append(json.loads(line)["status"]))
+    of = lambda name, entity: BatchContext(name, entity, context().logical_date, context().start, context().end, context().ingested_at)
+    go = lambda i, name, entity, **kw: runner.run(spark, made, publisher, emit, i, of(name, entity), root=str(tmp_path), **kw)
+    rate = dict(zip(("rate_date", "base_currency", "quote_currency", "rate", "retrieved_at"), GOOD[0]))
+    pages = lambda *items: Pages((200, {"items": [*items], "next_page": None}, {"ETag": "v1"}))
+    web = dict(environ={"URL": "https://h/x"})
+    assert go("rates", "rest_api", "exchange_rates", client=pages(rate | {"rate": 7.5}), **web).status == "published"
+    assert go("rates", "rest_api", "exchange_rates", client=pages(rate | {"rate": 7.5}), **web).status == "already_published"
+    assert go("rates", "rest_api", "exchange_rates", client=pages(rate), **web).detail == "source_content_conflict"
+    assert "rejection=" in go("rates", "rest_api", "exchange_rates", client=pages(rate, rate | {"rate": "-1"}), **web)
+    assert go("categories", "csv_file", "product_categories").record_count == 1
+    assert "rejection=" in go("devices", "json_file", "devices")
+    assert told == ["completed", "completed", "completed", "noop", "completed", "conflicted", "failed", "quarantined", "completed", "completed", "failed", "quarantined"]
+    with pytest.raises(registry.RegistryError):
+        go("rates", "csv_file", "exchange_rates")
+
+
+def test_bridge(spark, tmp_path):
+    from tidemark.sources import bridge
+
+    store = Store(spark, f"{tmp_path}/x")
+    frame = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    key = bridge.export(store, "out", "p1", {"t": (frame, ["id"])})
+    assert bridge.load(store, key, "p1", ["t"])["t"].count() == 2
+    for phase, names in (("p2", ["t"]), ("p1", ["t", "u"])):
+        with pytest.raises(bridge.BridgeError):
+            bridge.load(store, key, phase, names)
+    told = json.loads(store.read(key))
+    for change in ({"row_count": 3}, {"checksum": "sha256:0"}, {"path": "elsewhere"}):
+        store.replace(key, json.dumps(told | {"tables": {"t": told["tables"]["t"] | change}}).encode())
+        with pytest.raises(bridge.BridgeError):
+            bridge.load(store, key, "p1", ["t"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.functions.rules import first_reason
-from tidemark.schemas import CDC_ENTITIES, ENTITIES
+from tidemark.schemas import CDC_ENTITIES, ENTITIES, LEDGER
 
 OPERATIONS = {"r": "snapshot_read", "c": "create", "u": "update", "d": "delete"}
 ROW_OPERATIONS = ("load", "insert", "update", "delete")
@@ -207,3 +207,27 @@ def quarantine_reasons(decided: DataFrame) -> DataFrame:
     return aside.withColumn(
         "quarantine_id", F.sha2(F.concat_ws("|", "entity", "pk", F.col("hash").cast("string"), "rejection_reason"), 256)
     )
+
+
+def changelog(decided: DataFrame, keys: Sequence[str] = ("entity", "pk")) -> DataFrame:
+    """Applied events as changes of current rows: insert, update_after or delete.
+
+    A delete changes a row only if there is one; the row it takes away is the one before it.
+    """
+    line = Window.partitionBy(*keys).orderBy("seq")
+    applied = decided.where(F.col("decision").isin(*APPLIED))
+    there = F.coalesce(F.lag(F.col("op") != "delete").over(line), F.lit(False))
+    delete = F.col("op") == "delete"
+    kind = F.when(delete, F.when(there, "delete")).when(there, "update_after").otherwise("insert")
+    return applied.withColumn("change_type", kind).where("change_type IS NOT NULL")
+
+
+def typed(ledger: DataFrame, entity: str, payload: str = "payload") -> DataFrame:
+    """The live rows of one entity in its business columns; what does not fit a column is null."""
+    data = F.from_json(payload, "map<string,string>")
+    columns = []
+    for field in LEDGER[entity].split(", "):
+        name, kind = field.split(" ")
+        text = F.element_at(data, name)
+        columns.append((F.try_to_timestamp(text) if kind == "timestamp" else text.try_cast(kind)).alias(name))
+    return ledger.where((F.col("entity") == entity) & ~F.coalesce("is_deleted", F.lit(False))).select(*columns)

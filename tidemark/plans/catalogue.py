@@ -269,6 +269,9 @@ query("cdc_current_state", "SELECT entity, pk, seq, lsn, hash, op = 'delete' AS
       lambda s: cdc.current_state(cdc.position_decisions(s.cdc_positions)).select("entity", "pk", "seq", "lsn", "hash", "is_deleted"))
 query("cdc_quarantine", """SELECT seq, CASE decision WHEN 'stale' THEN 'stale_source_position' WHEN 'conflict' THEN 'same_position_different_content' ELSE 'incomparable_source_position' END AS rejection_reason FROM fold_positions WHERE decision IN ('stale', 'conflict', 'incomparable')""",
       lambda s: cdc.quarantine_reasons(cdc.position_decisions(s.cdc_positions)).select("seq", "rejection_reason"))
+query("cdc_changelog", """SELECT entity, pk, seq, CASE WHEN op = 'delete' THEN 'delete' WHEN there THEN 'update_after' ELSE 'insert' END AS change_type FROM
+  (SELECT *, coalesce(lag(op <> 'delete') OVER (PARTITION BY entity, pk ORDER BY seq), false) AS there FROM fold_positions WHERE decision LIKE 'applied%') WHERE op <> 'delete' OR there""",
+      lambda s: cdc.changelog(cdc.position_decisions(s.cdc_positions)).select("entity", "pk", "seq", "change_type"))
 query("event_dedup_by_id", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type, user_id",
       lambda s: s.events.groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id")).select("event_type", "event_id"))
 

@@ -9,7 +9,7 @@ passed over, so a restart repeats nothing.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +106,64 @@ def once_by_id(events: DataFrame, key: str = "event_id", at: str = "ts", within:
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def log_state(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Parsed log events (see ``parse_debezium``) to ``sink``, batch by batch."""
-    return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+LOG_LEDGER = (
+    "entity string, pk string, seq bigint, op string, lsn decimal(20,0), tx string, ord bigint, topic string, part int, off bigint, "
+    "payload string, is_deleted boolean"
+)
+LOG_STATE = ("entity", "pk", "seq", "op", "lsn", "tx", "ord", "topic", "part", "off", "payload")
+
+
+def decide_log(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """As ``decide`` for log events: the ledger keeps each key's log position, transaction order and transport place."""
+    known = ledger.select(*LOG_STATE).withColumn("seq", F.lit(-1).cast("bigint")).withColumn("_stored", F.lit(True))
+    both = known.unionByName(events.select(*LOG_STATE).withColumn("_stored", F.lit(False)))
+    return cdc.log_decisions(both)
+
+
+class LogLedger:
+    """Current state of log-captured entities. Deletes keep their position, so nothing late revives a row."""
+
+    def __init__(self, store: Store, namespace: str = "log"):
+        self.store, self.namespace = store, namespace
+        self.state = Table(store, f"{namespace}/ledger", LOG_LEDGER)
+
+    def apply(self, messages: DataFrame, batch_id: int) -> dict[str, DataFrame] | None:
+        """One batch of (topic, part, off, key, value, seq): ``changes``, ``ignored`` and ``rejected``; None if it ran before.
+
+        Markers without a value change nothing. The frames are stored, and can be written on.
+        """
+        done = f"{self.namespace}/_applied/{batch_id:012d}.json"
+        if self.store.exists(done):
+            return None
+        parsed = cdc.parse_debezium(messages).withColumn("payload", F.to_json("after"))
+        parsed = parsed.withColumn("op", F.when(F.col("op") == "d", "delete").otherwise(F.col("op")))
+        good = parsed.where("reason IS NULL AND value IS NOT NULL")
+        decided = decide_log(good, self.state.read())
+        kept = {
+            "changes": cdc.changelog(decided).where("NOT _stored"),
+            "ignored": decided.where("NOT _stored AND decision <> 'newer'"),
+            "rejected": parsed.where("reason IS NOT NULL").drop("after", "before"),
+        }
+        spark = self.store.spark
+        for name, frame in kept.items():
+            path = self.store.path(f"{self.namespace}/{name}/batch={batch_id}")
+            frame.drop("_stored").write.mode("overwrite").parquet(path)
+            kept[name] = spark.read.parquet(path)
+        new = cdc.current_state(decided.where("NOT _stored").drop("_stored"))
+        new = new.withColumn("payload", F.when(~F.col("is_deleted"), F.col("payload")))
+        old = self.state.read()
+        if not kept["changes"].isEmpty() or not new.isEmpty():
+            rest = old.join(new.select("entity", "pk"), ["entity", "pk"], "left_anti")
+            self.state.commit(rest.unionByName(new.select(*old.columns)), "merge")
+        self.store.create(done, b"{}")
+        return kept
+
+
+def run_log(source: DataFrame, ledger: LogLedger, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Starts a stream of log messages into the ledger."""
+    return (
+        source.writeStream.foreachBatch(lambda batch, number: ledger.apply(batch, number) and None)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
