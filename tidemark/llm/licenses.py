@@ -46,9 +46,9 @@ NOTICES = (
 )
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """A row for each template 3-gram; template -1 meets every text once."""
-    rows = ["(-1, '', false, 0, 0, '', '', '')"]
+def _values() -> list[str]:
+    """A row of SQL values for each template 3-gram: template, label, base, grams, k, a, b, c."""
+    rows = []
     for number, (phrase, label, base) in enumerate([(p, x, True) for p, x in BASE] + [(p, x, False) for p, x in NOTICES]):
         words = phrase.split()
         grams = len(words) - GRAM + 1
@@ -57,6 +57,12 @@ def _templates(spark: SparkSession) -> DataFrame:
         for k in range(grams):
             a, b, c = words[k : k + GRAM]
             rows.append(f"({number}, '{label}', {str(base).lower()}, {grams}, {k}, '{a}', '{b}', '{c}')")
+    return rows
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    """The template 3-grams with their hashes; template -1 meets every text once."""
+    rows = ["(-1, '', false, 0, 0, '', '', '')", *_values()]
     table = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, label, base, grams, k, a, b, c)")
     return table.withColumn("gram", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("a", "b", "c")))
 
@@ -126,3 +132,30 @@ def op6(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word",
         "base_labels", "labels", "score",
     )
+
+
+#: The same by lists of words and plain counts of distinct 3-grams.
+ORACLE = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+templates AS (SELECT * FROM (VALUES TEMPLATES) AS t(template, label, base, grams, k, a, b, c)),
+grams_of AS (
+  SELECT rid, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c FROM (SELECT rid, w, unnest(range(0, len(w) - 2)) AS i FROM texts)),
+hits AS (SELECT g.rid, g.i, t.template, t.label, t.base, t.grams, t.k FROM grams_of g JOIN templates t USING (a, b, c)),
+diagonals AS (
+  SELECT *, base AND len(ks) = grams AS whole FROM (
+    SELECT rid, template, label, base, grams, i - k AS diagonal, list(k) AS ks FROM hits GROUP BY rid, template, label, base, grams, i - k)),
+spanned AS (
+  SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > 2 THEN 1 ELSE 0 END AS apart FROM diagonals)),
+spans AS (
+  SELECT rid, template, label, base, count(*) FILTER (whole) AS places, min(diagonal) FILTER (whole) AS least, max(diagonal) FILTER (whole) AS most,
+    len(list_distinct(flatten(list(ks)))) / any_value(grams)::DOUBLE AS cover
+  FROM spanned GROUP BY rid, template, label, base, span)
+SELECT any_value(x.doc_id) AS doc_id, any_value(len(x.w))::BIGINT AS n_words, coalesce(sum(places), 0)::BIGINT AS n_base, min(least)::BIGINT AS first_word, max(most)::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (places > 0))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (CASE WHEN base THEN places > 0 ELSE cover >= 0.8 END))), ','), '') AS labels,
+  coalesce(max(cover), 0) AS score
+FROM texts x LEFT JOIN spans s ON x.rid = s.rid GROUP BY x.rid""".replace("TEMPLATES", ", ".join(_values()))

@@ -30,6 +30,7 @@ QUERIES = {
 }
 ORACLES = {
     "op4_chat_formatting": chat.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
     "op7_exact_topk": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
