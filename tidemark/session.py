@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution and ANSI on; shuffle partitions are left to the cluster unless given."""
@@ -20,3 +26,17 @@ def session(name: str = "tidemark", master: str | None = None, **conf: str) -> S
     for key, value in (fixed | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application, wherever they run and whatever their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
