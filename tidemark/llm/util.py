@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: ASCII capitals and their small letters; other letters keep their case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +42,11 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 
 def streamed(frame: DataFrame) -> DataFrame:
-    """``frame``, after its session was told to hand Arrow batches of a few MB to Python, however long the texts are."""
+    """``frame``, after its session was told to hand Arrow batches of a few MB to Python, however long the texts are.
+
+    The workers are sent this package, too.
+    """
+    ship(frame.sparkSession)
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame
 
