@@ -29,9 +29,9 @@ ORDER = 4
 START, END = 2, 3
 UNKNOWN = "und"
 #: Bounds of what is learned from: rows and distinct words of each language.
-ROWS, WORDS = 400, 60_000
+ROWS, WORDS = 600, 60_000
 #: One in so many sampled rows calibrates and is not learned from.
-CALIBRATE = 5
+CALIBRATE = 3
 REJECTED = 0.995
 #: Scored words remembered by a worker.
 REMEMBERED = 400_000
