@@ -22,6 +22,7 @@ def session(name: str = "tidemark", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
     }
     for key, value in (fixed | conf).items():
         builder = builder.config(key, value)
