@@ -79,7 +79,7 @@ MODELS: dict[str, Callable[[Source], DataFrame]] = {
     "dim_locations": lambda s: gold.dim_locations(s.stg_locations),
     "dim_date": lambda s: gold.dim_date(s.stg_orders, s.stg_payments),
     "fct_orders": lambda s: gold.fct_orders(s.int_orders_enriched, s.dim_customers, s.dim_date),
-    "fct_payments": lambda s: gold.fct_payments(s.int_payments_enriched, s.fct_orders, s.dim_date),
+    "fct_payments": lambda s: gold.fct_payments(s.int_payments_enriched, gold.order_keys(s.stg_orders, s.dim_customers), s.dim_date),
     "mart_daily_sales": lambda s: gold.mart_daily_sales(s.fct_orders),
     "rates_checked": lambda s: silver.with_reason(_typed_rates(s), "exchange_rates"),
     "locations_checked": lambda s: silver.with_reason(_typed_locations(s), "locations"),

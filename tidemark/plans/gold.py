@@ -132,6 +132,11 @@ def fct_orders(enriched: DataFrame, customers: DataFrame, dates: DataFrame) -> D
     )
 
 
+def order_keys(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """The two columns of ``fct_orders`` that payments need, without the rates and dates behind the others."""
+    return orders.select("order_id", "customer_id").join(customers.select("customer_id", "customer_sk"), "customer_id", "left").select("order_id", "customer_sk")
+
+
 def fct_payments(enriched: DataFrame, orders: DataFrame, dates: DataFrame) -> DataFrame:
     matched = orders.select(F.col("order_id"), F.col("order_id").alias("matched_order_id"), "customer_sk")
     joined = enriched.join(matched, "order_id", "left").join(
