@@ -392,3 +392,16 @@ def test_mixing(spark):
 
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+
+
+def test_pieces_change_nothing(monkeypatch):
+    from tidemark.llm import util
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "Bc", " ", "\n", "\u00a0", "é!", "A "]) for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["x" * 500, " " * 300]
+    whole = [(simhash.fingerprint(t), quality.terms(t, quality.Shapes()).tolist()) for t in texts]
+    assert [w for w, _ in whole] == [plain_fingerprint(t) for t in texts]
+    monkeypatch.setattr(util, "PIECE", 20)
+    for text, (one, two) in zip(texts, whole):
+        assert simhash.fingerprint(text) == one and np.allclose(quality.terms(text, quality.Shapes()), two)
+        assert [w for p in util.word_pieces(text) for w in p] == text.split() and [w for p in util.word_pieces(text.encode()) for w in p] == text.encode().split()

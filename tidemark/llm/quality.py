@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import remainder, streamed, written
+from tidemark.llm.util import remainder, streamed, word_pieces, written
 
 TERMS = 2048
 DIMENSIONS = 48
@@ -54,18 +54,19 @@ class Shapes(dict):
 
 def terms(text: str | None, shapes: Shapes) -> np.ndarray:
     """Square roots of the term shares of a text: single shapes, then hashed pairs."""
-    counts = np.zeros(TERMS)
-    words = (text or "").split()
-    if not words:
-        return counts
-    ids = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
-    again = sum(map(eq, words, words[1:]))
-    singles = np.bincount(ids, minlength=SHAPES)[:SHAPES].astype(float)
-    singles[REPEATED] = again
-    pairs = SHAPES + (ids[:-1] * 31 + ids[1:] * 17) % (TERMS - SHAPES)
-    counts[:SHAPES] = singles / len(words)
-    if len(pairs):
-        counts[SHAPES:] = np.bincount(pairs, minlength=TERMS)[SHAPES:] / len(pairs)
+    counts, n, last, before = np.zeros(TERMS), 0, None, None
+    for words in word_pieces(text or ""):
+        if not words:
+            continue
+        ids = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
+        counts[:SHAPES] += np.bincount(ids, minlength=SHAPES)
+        counts[REPEATED] += sum(map(eq, words, words[1:])) + (words[0] == last)
+        if before is not None:
+            ids = np.r_[before, ids]
+        counts += np.bincount(SHAPES + (ids[:-1] * 31 + ids[1:] * 17) % (TERMS - SHAPES), minlength=TERMS)
+        n, last, before = n + len(words), words[-1], ids[-1]
+    counts[:SHAPES] /= max(n, 1)
+    counts[SHAPES:] /= max(n - 1, 1)
     return np.sqrt(counts)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.util import LOWER_BYTES, streamed, written
+from tidemark.llm.util import LOWER_BYTES, streamed, word_pieces, written
 
 SHINGLE = 4
 SEED = 42
@@ -33,24 +33,28 @@ TILE = 1024
 LONG = 16384
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a text; 0 when it has no word."""
-    words = text.encode().translate(LOWER_BYTES).split() if text else []
-    if not words:
-        return 0
+def _digests(words: list[bytes]) -> np.ndarray:
+    """Hashes of all shingles of at least SHINGLE words."""
     line = b" ".join(words)
     ends = [*accumulate(map((1).__add__, map(len, words)))]
-    starts = [0, *ends]
     hashed = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        digests = [hashed(line, SEED)]
-    else:
-        digests = [hashed(line[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(digests), 8192):
-        part = np.array(digests[k : k + 8192], "<u8").view(np.uint8)
-        ones += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(digests), bitorder="little").tobytes(), "little")
+    return np.array([hashed(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])], "<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of a text; 0 when it has no word."""
+    ones, n, held = np.zeros(64, np.int64), 0, []
+    for words in word_pieces(text.encode().translate(LOWER_BYTES) if text else b""):
+        held += words
+        if len(held) >= SHINGLE:
+            digests = _digests(held)
+            for k in range(0, len(digests), 8192):
+                part = digests[k : k + 8192].view(np.uint8)
+                ones += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+            n, held = n + len(digests), held[1 - SHINGLE :]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(held), SEED) if held else 0
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

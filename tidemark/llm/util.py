@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: White space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
+#: Texts longer than this are split into words piece by piece.
+PIECE = 1 << 20
+_SPACE_BYTE, _SPACE_CHAR = re.compile(rb"[\x20\x09-\x0D]"), re.compile(r"\s")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +66,17 @@ def discard(frame: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def word_pieces(text: bytes | str) -> Iterator[list]:
+    """The words of ``text.split()``, those of about PIECE characters at a time."""
+    space, at = (_SPACE_BYTE if isinstance(text, bytes) else _SPACE_CHAR), 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE and (found := space.search(text, at + PIECE)):
+            end = found.start()
+        yield (text[at:end] if at or end < len(text) else text).split()
+        at = end
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
