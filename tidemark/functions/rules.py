@@ -1,4 +1,7 @@
-"""Rejection reasons: each rule list becomes one column that is null for a good row."""
+"""Rejection reasons: each rule list becomes one column that is null for a good row.
+
+The reason tokens are fixed values: whoever reads quarantines knows them by these names.
+"""
 
 from __future__ import annotations
 

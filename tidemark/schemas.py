@@ -17,6 +17,7 @@ class Entity:
     whole: str | None = None
 
 
+#: The sources' fields and keys.
 ENTITIES = {
     "customers": Entity(("customer_id", "customer_name", "customer_status", "created_at", "updated_at"), ("customer_id",), "updated_at"),
     "products": Entity(("product_id", "product_name", "category_code", "unit_price", "currency", "updated_at"), ("product_id",), "updated_at", "unit_price"),
