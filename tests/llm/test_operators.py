@@ -318,6 +318,16 @@ def test_quality_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
 
 
+def test_repeated_keys_count_once_in_the_labelled_sample(spark):
+    rows = [(1, "0x1F;; 77 !!" + (" 9" if k % 2 else "")) for k in range(60)] + [(k, "Plain words in a row, well put.") for k in range(2, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k > 1), 0) for k in range(1, 8)], LABELS)
+    voters = quality.fit(docs, labels, 20)
+    assert sorted(voters.labels) == [0, 1, 1, 1, 1, 1, 1]
+    good = {r.doc_id for r in quality.score(docs, voters).where("score >= 0.3").collect()}
+    assert good == set(range(2, 8))
+
+
 def brute_repeats(texts, length=400):
     starts = Counter(b[i : i + length] for t in texts for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     for text in texts:

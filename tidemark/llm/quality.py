@@ -97,10 +97,11 @@ class Voters:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters | None:
-    """From at most ``labelled`` rows of ``labels`` (doc_id, quality), the first by hash of the key."""
+    """From at most ``labelled`` rows of ``labels`` (doc_id, quality), the first by hash of the key; one text a key, the least of its rows."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``labelled`` keys
+    taken = taken.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # each once, so rows are bounded, too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters
             yield pa.RecordBatch.from_arrays(columns, ["quality", "term", "share"])
 
     found = streamed(taken.select("text", F.col("quality").cast("int").alias("quality"))).mapInArrow(run, "quality int, term array<int>, share array<double>")
-    found = written(found, "labelled").orderBy("quality", "term", "share").limit(labelled).toPandas()
+    found = written(found, "labelled").orderBy("quality", "term", "share").toPandas()
     if found.empty:
         return None
     rows = np.zeros((len(found), TERMS))
