@@ -328,6 +328,18 @@ def test_repeated_keys_count_once_in_the_labelled_sample(spark):
     assert good == set(range(2, 8))
 
 
+def test_every_character_of_a_long_word_counts():
+    def of(*texts):
+        return [quality.terms(t, quality.Shapes()).tolist() for t in texts]
+
+    rng = random.Random(12)
+    head = "".join(rng.choice("天地玄黃宇宙") for _ in range(64))
+    assert len(set(map(tuple, of(head, head + "日月", head + "「日」,月;1", head * 2, head * 40 + "日月!", head * 40 + "日月?")))) == 6
+    short = [("ab" * 32)[:k] for k in range(1, 65)]
+    shapes = quality.Shapes()
+    assert all(terms.sum() == 1 for terms in (quality.terms(t, shapes)[: quality.SHAPES] for t in short))
+
+
 def brute_repeats(texts, length=400):
     starts = Counter(b[i : i + length] for t in texts for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     for text in texts:

@@ -1,11 +1,12 @@
 """Quality by the votes of nearest labelled neighbours.
 
 A text's terms are the shapes of its words (runs of capitals, small letters and digits,
-with their punctuation and a length class), pairs of neighbouring shapes, and words that
-repeat the one before. Term shares are weighted by rarity and projected on the leading
-singular vectors of the labelled sample (latent-semantic analysis). The labelled vectors
-are broadcast; every text's cosines with all of them are exact matrix products, block by
-block, and the most similar ones vote with their similarity.
+with their punctuation and a length class; a word of more than ``WORD`` characters counts
+piece by piece), pairs of neighbouring shapes, and words that repeat the one before. Term
+shares are weighted by rarity and projected on the leading singular vectors of the labelled
+sample (latent-semantic analysis). The labelled vectors are broadcast; every text's cosines
+with all of them are exact matrix products, block by block, and the most similar ones vote
+with their similarity.
 """
 
 from __future__ import annotations
@@ -36,15 +37,17 @@ REMEMBERED = 300_000
 RUNS = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}\p{M}]+"), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1"))
 SHAPES = 512
 REPEATED = 0
+#: Longer words count as consecutive words of this length, so that every character counts.
+WORD = 64
 
 
 class Shapes(dict):
-    """Words to shape numbers (1 to SHAPES - 1), remembered."""
+    """Words of at most WORD characters to shape numbers (1 to SHAPES - 1), remembered."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        shape = word[:64].replace("A", "Z").replace("a", "z")
+        shape = word.replace("A", "Z").replace("a", "z")
         for runs, mark in RUNS:
             shape = runs.sub(mark, shape)
         shape += str(min(len(word), 24).bit_length())
@@ -58,13 +61,15 @@ def terms(text: str | None, shapes: Shapes) -> np.ndarray:
     for words in word_pieces(text or ""):
         if not words:
             continue
-        ids = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
+        parts = words if max(map(len, words)) <= WORD else (w[k : k + WORD] for w in words for k in range(0, len(w), WORD))
+        ids = np.fromiter(map(shapes.__getitem__, parts), np.int64)
+        m = len(ids)
         counts[:SHAPES] += np.bincount(ids, minlength=SHAPES)
         counts[REPEATED] += sum(map(eq, words, words[1:])) + (words[0] == last)
         if before is not None:
             ids = np.r_[before, ids]
         counts += np.bincount(SHAPES + (ids[:-1] * 31 + ids[1:] * 17) % (TERMS - SHAPES), minlength=TERMS)
-        n, last, before = n + len(words), words[-1], ids[-1]
+        n, last, before = n + m, words[-1], ids[-1]
     counts[:SHAPES] /= max(n, 1)
     counts[SHAPES:] /= max(n - 1, 1)
     return np.sqrt(counts)
