@@ -7,6 +7,7 @@ import math
 import duckdb
 import pytest
 
+from tidemark.operators import silver
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,25 @@ def test_query(spark, duck, name):
     at = [found.columns.index(c) for c in columns]
     theirs = sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
     assert ours == theirs
+
+
+#: Statements of the whole job, where the registered one asks for less.
+WHOLE = {
+    "ordered_scan": "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey)::INTEGER AS place FROM supplier",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_job(spark, duck, name):
+    found = duck.sql(WHOLE[name])
+    ours = catalogue.QUERIES[name](spark, SF).select(*found.columns).collect()
+    assert sorted(tuple(plain(x) for x in r) for r in ours) == sorted(tuple(plain(x) for x in r) for r in found.fetchall())
+
+
+def test_numbered(spark):
+    keys = [k * k % 7919 for k in range(3000)]
+    keys = [*dict.fromkeys(keys), None]
+    found = silver.numbered(spark.createDataFrame([(k,) for k in keys], "k long").repartition(5), "k", "place").collect()
+    assert {r.k: r.place for r in found} == {k: n for n, k in enumerate([*sorted(keys[:-1]), None], 1)} and len(found) == len(keys)
+    assert silver.numbered(spark.createDataFrame([], "k long"), "k", "place").collect() == []
+    assert [r.s_suppkey for r in catalogue.QUERIES["ordered_scan"](spark, SF).collect()] == sorted(r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect())

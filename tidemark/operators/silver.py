@@ -170,3 +170,21 @@ def counters(checked: DataFrame, entity: str, outcomes: DataFrame) -> DataFrame:
     won = placed.agg(F.count_if(F.col("_rank") > 1).alias("duplicate_count"), F.count_if(F.col("_rank") == 1).alias("unique_winner_count"))
     done = outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(n) for o, n in (("insert", "inserted_count"), ("update", "updated_count"), ("unchanged", "unchanged_count"))))
     return of.crossJoin(won).crossJoin(done)  # three one-row relations
+
+
+def numbered(rows: DataFrame, key: str, name: str, ranges: int = 64) -> DataFrame:
+    """All rows with their place, from 1, in the order of a numeric ``key``; nulls come last.
+
+    Bounds (approximate quantiles, at most ``ranges`` values, fixed before the plan) cut the
+    keys into ranges; a place is the number in its range after all rows of the lower ranges.
+    """
+    bounds = sorted(set(rows.approxQuantile(key, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))))
+    below = [F.when(F.col(key) > b, 1).otherwise(0) for b in bounds]
+    part = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(sum(below, F.lit(0)))
+    rows = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").count()  # a row a range
+    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_last()))
+    placed = rows.withColumn("_inside", inside).join(F.broadcast(starts), "_part")
+    return placed.withColumn(name, (F.col("_start") + F.col("_inside")).cast("int")).drop("_part", "_inside", "_start")

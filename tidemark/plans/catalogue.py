@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
@@ -112,7 +112,7 @@ query("scan_incremental_half_open", "SELECT o_orderkey, o_orderdate FROM orders
 query("offset_pagination", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50",
       lambda s: s.customer.select("c_custkey", "c_name").orderBy("c_custkey").offset(50).limit(25))
 query("ordered_scan", "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey)::INTEGER AS place FROM supplier WHERE s_suppkey % 5 = 0 ORDER BY s_suppkey LIMIT 500",
-      lambda s: s.supplier.where("s_suppkey % 5 = 0").orderBy("s_suppkey").limit(500).select("s_suppkey", "s_name", F.row_number().over(Window.orderBy("s_suppkey")).alias("place")))
+      lambda s: silver.numbered(s.supplier, "s_suppkey", "place").select("s_suppkey", "s_name", "place").orderBy("s_suppkey"))
 query("topk_latest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10",
       lambda s: s.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(10))
 query("source_freshness", """SELECT 'orders' AS source, max(ingested_at) AS loaded_at, CASE WHEN date_diff('hour', max(ingested_at), TIMESTAMP '1998-08-05') > 72 THEN 'error'
