@@ -13,6 +13,7 @@ from tidemark.functions import rules as R
 from tidemark.operators import backfill, cdc, quality, silver
 from tidemark.plans import adapters, gold, oracles
 from tidemark.sources import landing
+from tidemark.streaming import cdc as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -274,7 +275,7 @@ query("cdc_changelog", """SELECT entity, pk, seq, CASE WHEN op = 'delete' THEN '
   (SELECT *, coalesce(lag(op <> 'delete') OVER (PARTITION BY entity, pk ORDER BY seq), false) AS there FROM fold_positions WHERE decision LIKE 'applied%') WHERE op <> 'delete' OR there""",
       lambda s: cdc.changelog(cdc.position_decisions(s.cdc_positions)).select("entity", "pk", "seq", "change_type"))
 query("event_dedup_by_id", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type, user_id",
-      lambda s: s.events.groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id")).select("event_type", "event_id"))
+      lambda s: stream.once_by_id(s.events.unionByName(s.events)))
 
 # Reconciliation and quality.
 query("anti_join_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",

@@ -102,7 +102,11 @@ def archive(messages: DataFrame, path: str, checkpoint: str, trigger: dict | Non
 
 
 def once_by_id(events: DataFrame, key: str = "event_id", at: str = "ts", within: str = "60 seconds") -> DataFrame:
-    """A stream without repeats of ``key`` that come ``within`` the watermark."""
+    """One row a ``key``: of a stream without repeats that come ``within`` the watermark, of a batch its earliest row ``at``, then the least."""
+    if not events.isStreaming:
+        rest = [c for c in events.columns if c not in (key, at)]
+        least = F.min(F.struct(F.col(at).isNull().alias("_late"), *(F.col(f"`{c}`") for c in (at, *rest))))
+        return events.groupBy(key).agg(least.alias("_row")).select(*(F.col(f"`{c}`" if c == key else f"_row.`{c}`") for c in events.columns))
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
