@@ -272,6 +272,25 @@ def test_licenses(spark):
     assert found[7].labels == "gpl-3" and found[1].n_base == 3
 
 
+FSF = "it under the terms of the GNU {} as published by the Free Software Foundation, {} (at your option) any later version."
+WORDINGS = [
+    ("Licensed under the GNU General Public License version 3", "gpl-3"), ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "gpl-3"), ("GNU General Public License, Version 2", "gpl-2"),
+    (FSF.format("General Public License", "either version 3 of the License, or"), "gpl-3"), (FSF.format("General Public License", "either version 2 of the License, or"), "gpl-2"),
+    (FSF.format("General Public License", "version 3 of the License, or"), "gpl-3"), ("under version 3 of the GNU General Public License.", "gpl-3"), ("under version 2 of the GNU General Public License.", "gpl-2"),
+    (FSF.format("Affero General Public License", "either version 3 of the License, or"), "agpl"), (FSF.format("Lesser General Public License", "either version 3 of the License, or"), "lgpl"),
+    ("to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished", ""),
+    ("The above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the Software.", "mit"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("We, the Free Software Foundation, use the GNU General Public License for most of our software; it applies also to any other work released this way by its authors.", "gpl-3"),
+    ("We published the general version 3 of a license for public software.", ""),
+]
+
+
+def test_license_wordings(spark):
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(WORDINGS)], "doc_id long, text string")).collect()}
+    assert {t: found[k] for k, (t, _) in enumerate(WORDINGS)} == dict(WORDINGS)
+
+
 def test_language_models():
     counts = {"aa": (["ab", "aab", "b"], np.array([5, 3, 1])), "zz": (["zy", "zzy"], np.array([4, 2]))}
     model = langid.train(counts)

@@ -29,6 +29,7 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 #: Opening words of public licenses and of the usual notices, with their labels.
+#: 3-grams with two words in capitals (or a number after such a word) must be there: they tell notices apart that share the rest.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
     ("released under the mit license", "mit"),
@@ -37,20 +38,61 @@ NOTICES = (
     ("creative commons attribution noncommercial 4 0 international", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
+    ("gnu general public license version 3", "gpl-3"),
+    ("version 3 of the gnu general public license", "gpl-3"),
+    ("terms of the GNU GENERAL public license as published by the free software foundation either VERSION 3 of the license", "gpl-3"),
+    ("terms of the GNU GENERAL public license as published by the free software foundation VERSION 3 of the license", "gpl-3"),
     ("gnu general public license version 2", "gpl-2"),
+    ("version 2 of the gnu general public license", "gpl-2"),
+    ("terms of the GNU GENERAL public license as published by the free software foundation either VERSION 2 of the license", "gpl-2"),
+    ("terms of the GNU GENERAL public license as published by the free software foundation VERSION 2 of the license", "gpl-2"),
     ("gnu lesser general public license", "lgpl"),
     ("gnu affero general public license", "agpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("all rights reserved", "all-rights-reserved"),
 )
+#: Passages from the bodies of public licenses, which no other of them holds, with their labels.
+BODIES = (
+    ("each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or", "apache-2"),
+    ("you must cause any modified files to carry prominent notices stating that you changed the files and c you must retain in the source form of any derivative works that", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either", "apache-2"),
+    ("this license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of the work and", "apache-2"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the", "bsd"),
+    ("names of its contributors may be used to endorse or promote products derived from this software without specific", "bsd"),
+    ("as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose", "bsd"),
+    ("this general public license applies to most of the free software foundation s software and to any other program whose authors commit to using it", "gpl-2"),
+    ("for example if you distribute copies of such a program whether gratis or for a fee you must give the recipients all the rights that you have you must make", "gpl-2"),
+    ("you may not copy modify sublicense or distribute the program except as expressly provided under this license any attempt otherwise to copy modify sublicense", "gpl-2"),
+    ("we the free software foundation use the gnu general public license for most of our software it applies also to any other work released this way by its authors you", "gpl-3"),
+    ("for example if you distribute copies of such a program whether gratis or for a fee you must pass on to the recipients the same freedoms that you received you must make sure that they too receive or can get the source code and", "gpl-3"),
+    ("a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it is called a work that uses the library such a work in isolation", "lgpl"),
+    ("you may convey a combined work under terms of your choice that taken together effectively do not restrict modification of the portions of the library contained in the combined work and reverse engineering for debugging such", "lgpl"),
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
+    ("each contributor hereby grants you a world wide royalty free non exclusive license a under intellectual property rights other than patent or trademark licensable by such contributor to use reproduce", "mpl-2"),
+    ("all distribution of covered software in source code form including any modifications that you create or to which you contribute must be under the terms of this license you must inform recipients that the", "mpl-2"),
+    ("covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory including without limitation warranties that the covered software is free of defects merchantable fit for a particular purpose", "mpl-2"),
+)
+
+
+def _phrases() -> list[tuple[str, str, bool]]:
+    return [(p, x, True) for p, x in BASE] + [(p, x, False) for p, x in NOTICES + BODIES]
+
+
+def _must() -> list[str]:
+    """A row of SQL values for each template: number and the bits of the 3-grams that must be there."""
+    every = [[w != w.lower() or (w.isdigit() and b != b.lower()) for b, w in zip(["", *p.split()], p.split())] for p, _, _ in _phrases()]
+    return [f"({n}, {sum(1 << k for k in range(len(up) - GRAM + 1) if sum(up[k : k + GRAM]) > 1)}L)" for n, up in enumerate(every)]
 
 
 def _values() -> list[str]:
     """A row of SQL values for each template 3-gram: template, label, base, grams, k, a, b, c."""
     rows = []
-    for number, (phrase, label, base) in enumerate([(p, x, True) for p, x in BASE] + [(p, x, False) for p, x in NOTICES]):
-        words = phrase.split()
+    for number, (phrase, label, base) in enumerate(_phrases()):
+        words = phrase.lower().split()
         grams = len(words) - GRAM + 1
         if not 0 < grams < 64:
             raise ValueError(f"a template needs {GRAM} to {62 + GRAM} words: {phrase}")
@@ -64,7 +106,8 @@ def _templates(spark: SparkSession) -> DataFrame:
     """The template 3-grams with their hashes; template -1 meets every text once."""
     rows = ["(-1, '', false, 0, 0, '', '', '')", *_values()]
     table = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, label, base, grams, k, a, b, c)")
-    return table.withColumn("gram", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("a", "b", "c")))
+    must = spark.sql(f"SELECT * FROM VALUES (-1, 0L), {', '.join(_must())} AS t(template, must)")
+    return table.join(must, "template").withColumn("gram", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("a", "b", "c")))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -92,11 +135,11 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         | ((word[0] == F.col("a")) & (word[1] == F.col("b")) & (word[2] == F.col("c")))
     )
     hits = places.join(templates, same).select(
-        "rid", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "grams",
+        "rid", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "grams", "must",
         (F.col("at") - F.col("k")).alias("diagonal"),
         F.expr("shiftleft(1L, k)").alias("bit"), "at",
     )
-    votes = hits.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "grams", "diagonal").agg(
+    votes = hits.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "grams", "must", "diagonal").agg(
         F.bit_or("bit").alias("bits"), F.min("at").alias("first"), F.max("at").alias("last")
     )
     votes = votes.repartition("rid")  # one exchange for all that follows
@@ -105,14 +148,16 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     votes = votes.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0)))
     votes = votes.withColumn("span", F.sum("apart").over(line))
     whole = F.col("base") & (F.bit_count("bits") == F.col("grams"))
-    spans = votes.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "grams", "span").agg(
+    spans = votes.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "grams", "must", "span").agg(
         F.bit_or("bits").alias("bits"), F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"),
         F.count_if(whole).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("least"), F.max(F.when(whole, F.col("diagonal"))).alias("most"),
     )
     cover = F.when(F.col("template") >= 0, F.bit_count("bits") / F.col("grams")).otherwise(0.0)
     spans = spans.withColumn("cover", cover)
-    counts = F.when(F.col("base"), F.col("places") > 0).otherwise((F.col("template") >= 0) & (F.col("cover") >= COVER))
+    counts = F.when(F.col("base"), F.col("places") > 0).otherwise(
+        (F.col("template") >= 0) & (F.col("cover") >= COVER) & (F.col("bits").bitwiseAND(F.col("must")) == F.col("must"))
+    )
     joined = lambda labels: F.array_join(F.array_sort(F.collect_set(labels)), ",")
     return spans.groupBy("rid", "doc_id", "n_words").agg(
         F.sum("places").alias("n_base"),
