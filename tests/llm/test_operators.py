@@ -229,6 +229,23 @@ def test_nearest(spark, vectors):
     assert ann.op5(spread(spark, vectors[:0])).collect() == []
 
 
+@pytest.mark.parametrize("block", [512, 16384])
+def test_a_query_far_from_all_rows_gets_a_whole_answer(spark, block, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    axis = np.eye(16)[0]
+    x = rng.normal(size=(2500, 16)) * 0.02 + axis
+    x[100] = -axis
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(1, [float(c) for c in x[1]])] * 20
+    rows += [(5000 + k, [1.0, float(k)]) for k in range(4)] + [(5000, [1.0, 0.0])]
+    found = {}
+    for r in ann.op5(spread(spark, rows)).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    exact = sorted((float(np.sqrt(((x[k] - x[100]) ** 2).sum())), k) for k in range(2500) if k != 100)[:10]
+    assert sorted(found[100]) == [(n, k) for n, (_, k) in enumerate(exact, 1)]
+    assert all(len(found[k]) == 10 for k in range(0, 2500, 100)) and sorted(found[5000]) == [(1, 5001), (2, 5002), (3, 5003)]
+
+
 def test_recall_on_the_table(spark):
     table = read(spark, "/root/testdata/sf0.1", "embeddings")
     rows = table.collect()
