@@ -32,8 +32,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ``token_ids``, which decode to the text."""
-    return bpe.encode(docs)
+    """All documents with their ``token_ids``, which are decoded here and must give the text; the stage fails if not."""
+    encoded = bpe.encode(docs)
+    rows = encoded.select(F.struct(*(encoded[f"`{c}`"] for c in encoded.columns)).alias("row"), "token_ids")
+    same = F.col("decoded") == F.coalesce("row.text", F.lit("")).cast("binary")
+    wrong = F.raise_error(F.lit("token ids do not decode to the text")).cast("boolean")
+    return bpe.decode(rows).where(F.when(same, True).otherwise(wrong)).select("row.*")
 
 
 STAGES = [

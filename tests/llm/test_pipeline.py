@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, quality, simhash, suffixdedup
 from tidemark.llm.util import read, remainder
@@ -44,3 +45,13 @@ def test_repeats_keep_characters_whole(spark, text):
     docs = spark.createDataFrame([(1, "x" + body), (2, "yé" + body), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in suffixdedup.remove_repeats(docs).collect()}[3] is None
     assert quality.KEEP == 0.3 and remainder is not None
+
+
+def test_tokens_are_decoded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "é a", 7), (2, None, 7), (3, "", 7), (None, "x", None)], "doc_id long, text string, decoded int")
+    found = corpus_pipeline.tokens(spark, docs, SF)
+    assert found.columns == ["doc_id", "text", "decoded", "token_ids"]
+    assert sorted((tuple(r)[:3] for r in found.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    monkeypatch.setattr(bpe, "decode", lambda d: d.withColumn("decoded", F.lit(b"other")))
+    with pytest.raises(Exception, match="do not decode to the text"):
+        corpus_pipeline.tokens(spark, docs, SF).collect()
