@@ -403,7 +403,69 @@ def test_suffix_dedup(spark, pairs, monkeypatch):
         texts.append(x + "|" + x)
     rows = [*enumerate(texts), (10_000, texts[7])]
     found = {r.doc_id: tuple(r)[1:] for r in suffixdedup.op9(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert [found[k] for k, _ in rows] == [*brute_repeats([t for _, t in rows])]
+    assert [found[k][:4] for k, _ in rows] == [*brute_repeats([t for _, t in rows])]
+    assert [found[k][4:] for k, _ in rows] == [(len(x), sum(b - a for a, b in x)) for x in brute_passages([t for _, t in rows])]
+
+
+#: Ideographs and kana are words by themselves.
+WORD = r"[\u3000-\u9fff]|[^\x20\x09-\x0D\u3000-\u9fff]+"
+
+
+def brute_passages(texts, length=51):
+    """Runs of words that repeated passages cover, as (first word, word behind the last)."""
+    words = [re.findall(WORD, t or "") for t in texts]
+    starts = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    for w in words:
+        gone = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - length + 1):
+            if starts[tuple(w[i : i + length])] > 1:
+                gone[i + 1 : i + 1 + length] = 1
+        edge = np.diff(gone)
+        yield [*zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+
+
+@pytest.mark.parametrize("pairs", [0, 16])
+def test_passages(spark, pairs, monkeypatch):
+    """Passages of 51 words, some under 400 bytes, go by words, whatever stands between them; what is shorter stays."""
+    monkeypatch.setattr(suffixdedup, "PAIRS", pairs)
+    monkeypatch.setattr(suffixdedup, "RUN", 40)
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdeé中") for _ in range(rng.randint(1, 6)))
+    passage = [[word() for _ in range(n)] for n in (50, 51, 51, 60, 140)]
+    texts = [None, "", " \t", " ".join(passage[1]), "x" * 70_000 + " " + " ".join(passage[1]), "x" * 70_000 + " b"]
+    for _ in range(60):
+        own = lambda: [word() + "z" for _ in range(rng.randint(0, 80))]
+        of = rng.choice(passage)
+        cut = rng.choice([of, of, of[: rng.randint(1, len(of))], of[rng.randint(0, len(of) - 1) :]])
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "  "]) for w in own() + cut + own()))
+    rows = [*enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = [*brute_passages(texts)]
+    found = {r.doc_id: (r.n_passages, r.n_passage_words) for r in suffixdedup.op9(frame).collect()}
+    assert [found[k] for k, _ in rows] == [(len(x), sum(b - a for a, b in x)) for x in spans]
+    assert any(spans) and not all(spans[6:])
+    kept = {r.doc_id: r.text for r in suffixdedup.remove_repeats(frame, measures=(suffixdedup.WORDS,)).collect()}
+    for (k, text), gone in zip(rows, spans):
+        words = re.findall(WORD, text or "")
+        left = [w for i, w in enumerate(words) if not any(a <= i < b for a, b in gone)]
+        assert kept[k] is None if text is None else "".join(kept[k].split()) == "".join(left)
+
+
+def test_word_codes_do_not_hang_on_chunks(monkeypatch):
+    rng = random.Random(17)
+    texts = ["".join(rng.choice(["ab", "ab", "c", "é", " ", "\n", "x" * 40, "中", "の国"]) for _ in range(rng.randint(0, 90))).encode() for _ in range(50)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.r_[0, ends[:-1]]
+    bounds = suffixdedup.word_bounds(data, starts, ends)
+    assert [bytes(data[a:b]) for a, b in zip(*bounds)] == [w.encode() for t in texts for w in re.findall(WORD, t.decode())]
+    codes = suffixdedup.word_codes(data, *bounds)
+    of = {}
+    assert all(of.setdefault(bytes(data[a:b]), c) == c for a, b, c in zip(*bounds, codes)) and len(set(of.values())) == len(of)
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(suffixdedup, "CHUNK", chunk)
+        assert all((x == y).all() for x, y in zip(suffixdedup.word_bounds(data, starts, ends), bounds))
+        assert (suffixdedup.word_codes(data, *bounds) == codes).all()
 
 
 def test_loser_tree():
@@ -418,7 +480,7 @@ def test_loser_tree():
 def test_chunks_change_nothing(monkeypatch):
     data = np.frombuffer(("".join(random.Random(9).choice("abcd") for _ in range(30000))).encode(), np.uint8)
     bounds = np.array([0, 100, 9000, 9100]), np.array([100, 9000, 9100, 30000])
-    covers = lambda: {(int(t), int(p), s) for g, *x in suffixdedup.anchors(data, *bounds) for t, p, a, b in zip(*x) for s in range(a, b + 1)}
+    covers = lambda: {(int(t), int(p), s) for g, *x in suffixdedup.anchors(data, *bounds, suffixdedup.BYTES) for t, p, a, b in zip(*x) for s in range(a, b + 1)}
     one = covers()
     monkeypatch.setattr(suffixdedup, "CHUNK", 1000)
     assert covers() == one and len(one) == sum(max(0, b - a - 399) for a, b in zip(*bounds))

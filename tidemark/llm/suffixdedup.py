@@ -1,19 +1,23 @@
 """Removal of long repeats by a distributed merge sort of suffixes that knows common prefixes.
 
-A string of ``LENGTH`` bytes that occurs twice holds, in both places, the same 64-byte gram
-of least hash (leftmost of equals). So only suffixes that start at such grams, the anchors,
-need sorting: about one byte in 170. An anchor answers for the windows it is least in, which
-are consecutive; what they cover is its left and right context. Anchors whose gram occurs
-once in the corpus cannot repeat and leave by counts of hashes, before any text moves.
+What counts as long is a ``Measure``: ``BYTES`` are strings of 400 bytes, ``WORDS`` are 51 words
+in a row, whatever white space stands between them. A text is a row of symbols, its bytes or
+64-bit codes of its words; both kinds go through the same passes, with one shuffle of the texts.
+
+A string of ``length`` symbols that occurs twice holds, in both places, the same gram of least
+hash (leftmost of equals). So only suffixes that start at such grams, the anchors, need sorting:
+about one byte in 170. An anchor answers for the windows it is least in, which are consecutive;
+what they cover is its left and right context. Anchors whose gram occurs once in the corpus
+cannot repeat and leave by counts of hashes, before any text moves.
 
 The others' right contexts are the suffixes. Tasks sort them in runs, in which equal contexts
 meet and leave one of themselves, and exchange the runs front-coded (each suffix without the
 prefix it shares with the one before), dealt by the gram. Receivers merge them by loser trees
 whose nodes keep the prefix known to be common with the last suffix out, so that no byte of it
 is compared again. Neighbours that share the gram form a group. A window at offset o before the
-anchor repeats if another suffix of the group shares o bytes to the left and LENGTH - o to the
+anchor repeats if another suffix of the group shares o symbols to the left and the rest to the
 right; the merge has left the prefix lengths, the left contexts are compared from their ends.
-All comparisons are of bytes; a hash only ever decides who meets.
+All comparisons are of symbols; a gram's hash only ever decides who meets.
 """
 
 from __future__ import annotations
@@ -21,39 +25,122 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.util import discard, streamed, written
+from tidemark.llm.util import discard, streamed, trimmed, written
+
+
+@dataclass(frozen=True)
+class Measure:
+    """Symbols of ``wide`` bytes; ``length`` of them alike are a repeat; anchors are grams of ``gram``. ``low`` marks its hashes."""
+
+    low: int
+    wide: int
+    length: int
+    gram: int
 
-LENGTH = 400
+
+BYTES = Measure(0, 1, 400, 64)
+#: Passages of over 50 words.
+WORDS = Measure(1, 8, 51, 8)
+MEASURES = (BYTES, WORDS)
+#: Bytes of a gram, by either measure.
 GRAM = 64
-#: Bytes of text whose hashes are made at once, contexts of a sorted run.
-CHUNK, RUN = 1 << 20, 20_000
+#: Symbols or bytes of text whose hashes are made at once, contexts of a sorted run.
+CHUNK, RUN = 1 << 18, 20_000
+#: Words of more bytes are coded one by one.
+LONG_WORD = 1 << 16
 #: Bytes of contexts meant for a part of the exchange.
 PART = 16 << 20
 #: Groups up to this size are compared pair by pair, larger ones by classes.
 PAIRS = 16
 BASE = np.uint64(0xD6E8FEB86659FD93)
-BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, np.uint64)
+CODES = np.random.default_rng(400).integers(1, 1 << 63, 256, np.uint64)
 PLACE = np.uint64((1 << 24) - 1)
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: First bytes of the three that make an ideograph or a syllable of kana: scripts without spaces, of which each character is a word.
+ALONE = (np.arange(256) >= 0xE3) & (np.arange(256) <= 0xE9)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(32))
+        h *= BASE
+        return h ^ (h >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place, by doubling."""
-    h, power, wide = BYTES[data], BASE, 1
+def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` symbols from each place, by doubling."""
+    h, power, wide = codes, BASE, 1
     with np.errstate(over="ignore"):
-        while wide < GRAM:
+        while wide < gram:
             h = h[:-wide] * power + h[wide:]
             power, wide = power * power, 2 * wide
-        h ^= h >> np.uint64(32)
-        h *= BASE
-        h ^= h >> np.uint64(29)
-    return h
+    return _mixed(h)
+
+
+def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` start and end: runs without white space, and each character that is ALONE. None crosses the bounds of its text."""
+    edge = np.unique(np.r_[starts, ends])
+    begin, stop = [], []
+    for a in range(0, len(data), CHUNK):
+        b = min(len(data), a + CHUNK)
+        held = np.r_[a > 0 and not SPACES[data[a - 1]], ~SPACES[data[a:b]], b < len(data) and not SPACES[data[b]]]
+        cut = edge[np.searchsorted(edge, a) : np.searchsorted(edge, b, "right")] - a
+        split = np.zeros(b - a + 1, bool)
+        split[cut] = True
+        alone = ALONE[data[max(0, a - 3) : b]]
+        places = np.flatnonzero(alone) + max(0, a - 3) - a
+        split[places[places >= 0]] = True
+        after = places + 3
+        split[after[(after >= 0) & (after <= b - a)]] = True
+        if b < len(data) and ALONE[data[b]]:
+            split[b - a] = True
+        inner, before, behind = held[1:-1], held[:-2], held[2:]
+        begin.append(a + np.flatnonzero(inner & (~before | split[:-1])))
+        stop.append(a + 1 + np.flatnonzero(inner & (~behind | split[1:])))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *begin]), np.concatenate([none, *stop])
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse modulo 2^64."""
+    with np.errstate(over="ignore"):
+        both = [np.full(n, x, np.uint64) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
+        for x in both:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+    return both[0], both[1]
+
+
+def word_codes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each word, by differences of one running sum a chunk; very long words are hashed whole."""
+    out = np.empty(len(begin), np.uint64)
+    power, inverse = _powers(CHUNK + LONG_WORD + 1)
+    long = stop - begin > LONG_WORD
+    for k in np.flatnonzero(long):
+        out[k] = xxhash.xxh64_intdigest(memoryview(data[begin[k] : stop[k]]))
+    short = np.flatnonzero(~long)
+    lo, hi = begin[short], stop[short]
+    at = 0
+    while at < len(short):
+        a = int(lo[at])
+        to = int(np.searchsorted(lo, a + CHUNK))
+        x, y = lo[at:to] - a, hi[at:to] - a
+        with np.errstate(over="ignore"):
+            total = np.cumsum(CODES[data[a : a + int(y[-1])]] * power[: int(y[-1])], dtype=np.uint64)
+            out[short[at:to]] = _mixed((total[y - 1] - np.where(x > 0, total[np.maximum(x - 1, 0)], np.uint64(0))) * inverse[x])
+        at = to
+    return out
 
 
 def sliding_least(keys: np.ndarray, wide: int) -> np.ndarray:
@@ -67,20 +154,23 @@ def sliding_least(keys: np.ndarray, wide: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram hash, text number, anchor, first window, last window) for texts at ``starts`` to ``ends`` of ``data``; places within the text."""
-    wide = LENGTH - GRAM + 1
+def anchors(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, ...]]:
+    """(gram hash, text number, anchor, first window, last window) for texts at ``starts`` to ``ends`` of symbols; places within the text.
+
+    ``codes`` are bytes or word codes.
+    """
+    wide = measure.length - measure.gram + 1
     low, high = int(starts[0]) if len(starts) else 0, int(ends[-1]) if len(ends) else 0
     for a in range(low, high, CHUNK):
-        b = min(high, a + CHUNK + LENGTH - 1)
-        if b - a < LENGTH:
+        b = min(high, a + CHUNK + measure.length - 1)
+        if b - a < measure.length:
             continue
-        hashes = gram_hashes(data[a:b])
+        hashes = gram_hashes(CODES[codes[a:b]] if codes.dtype == np.uint8 else codes[a:b], measure.gram)
         keys = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
         at = (sliding_least(keys, wide) & PLACE).astype(np.int64)[:CHUNK]
         first, last = np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + len(at), "left")
         number = np.searchsorted(ends[first:last], a + np.arange(len(at)), "right") + first
-        whole = np.nonzero(a + np.arange(len(at)) + LENGTH <= ends[np.minimum(number, len(ends) - 1)])[0]
+        whole = np.nonzero(a + np.arange(len(at)) + measure.length <= ends[np.minimum(number, len(ends) - 1)])[0]
         if not len(whole):
             continue
         of = at[whole]
@@ -88,30 +178,39 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[
         windows, until = whole[cut], whole[np.r_[cut[1:] - 1, len(whole) - 1]]
         text = number[windows]
         zero = a - starts[text]
-        yield hashes[of[cut]], text, of[cut] + zero, windows + zero, until + zero
+        # The lowest bit tells the measures apart, so that grams of one never meet those of the other.
+        yield (hashes[of[cut]] & ~np.uint64(1)) | np.uint64(measure.low), text, of[cut] + zero, windows + zero, until + zero
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts and ends of a string column's texts; null texts are empty."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    return data, offsets[:-1], offsets[1:]
+    return data[: offsets[-1]], offsets[:-1], offsets[1:]
+
 
+def _first_pass(measures: tuple[Measure, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """rid, text to rows of a text (gram null: length and digest) and of its anchors."""
+        names = ["rid", "n_bytes", "sha", "gram", "anchor", "first", "last"]
+        for batch in trimmed(batches):
+            rid = batch.column(0).to_numpy()
+            data, starts, ends = _buffers(batch.column(1))
+            view, n = memoryview(data), len(rid)
+            digests = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(starts, ends)]
+            none = pa.nulls(n, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts), pa.array(digests), pa.nulls(n, pa.int64()), none, none, none], names)
+            for measure in measures:
+                codes, low, high = data, starts, ends
+                if measure is WORDS:
+                    begin, stop = word_bounds(data, starts, ends)
+                    codes, low, high = word_codes(data, begin, stop), np.searchsorted(begin, starts), np.searchsorted(begin, ends)
+                for gram, text, anchor, first, last in anchors(codes, low, high, measure):
+                    m = len(gram)
+                    narrow = [pa.array(x.astype(np.int32)) for x in (anchor, first, last)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[text]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(gram.view(np.int64)), *narrow], names)
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, text to rows of a text (gram null: length and digest) and of its anchors."""
-    names = ["rid", "n_bytes", "sha", "gram", "anchor", "first", "last"]
-    for batch in batches:
-        rid = batch.column(0).to_numpy()
-        data, starts, ends = _buffers(batch.column(1))
-        view, n = memoryview(data), len(rid)
-        digests = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(starts, ends)]
-        none = pa.nulls(n, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts), pa.array(digests), pa.nulls(n, pa.int64()), none, none, none], names)
-        for gram, text, anchor, first, last in anchors(data, starts, ends):
-            m = len(gram)
-            narrow = [pa.array(x.astype(np.int32)) for x in (anchor, first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[text]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(gram.view(np.int64)), *narrow], names)
+    return run
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -216,37 +315,45 @@ def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def _second_pass(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rid, text, anchors) to sorted runs by part, and to what repeats inside a run (part null)."""
-        held: dict[tuple[bytes, bytes], list] = {}
+        """(rid, text, anchors) to sorted runs by part, and to what repeats inside a run (part null).
+
+        Inside, a text is known by ``rid`` and measure in one number, so that spans of one measure stay apart.
+        """
+        held: dict[tuple[bytes, bytes, int], list] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             runs: dict[int, list] = {}
             spans = []
-            for (right, left), (part, places) in held.items():
-                known = len(places) > 1
+            for (right, left, kind), (part, places) in held.items():
+                known, wide = len(places) > 1, MEASURES[kind].wide
                 runs.setdefault(part, []).append((right, left, *places[0], known))
                 if known:
-                    spans += [(rid, at - len(left), at + len(right)) for rid, at in places]
+                    spans += [(key, at - len(left) // wide, at + len(right) // wide) for key, at in places]
             held.clear()
             spans = united(spans)
             blocks = [(part, pack(sorted(run))) for part, run in runs.items()]
             n, m = len(blocks), len(spans)
-            rid, start, stop = zip(*spans) if spans else ((), (), ())
+            key, start, stop = zip(*spans) if spans else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*(p for p, _ in blocks), *[None] * m], pa.int32()), pa.array([*(b for _, b in blocks), *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *rid], pa.int64()), pa.array([*[None] * n, *start], pa.int32()), pa.array([*[None] * n, *stop], pa.int32()),
+                    pa.array([*[None] * n, *key], pa.int64()), pa.array([*[None] * n, *start], pa.int32()), pa.array([*[None] * n, *stop], pa.int32()),
                 ],
-                ["part", "block", "rid", "start", "stop"],
+                ["part", "block", "key", "start", "stop"],
             )
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for rid, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data, found = text.as_py().encode(), found.values
+                symbols, found = [text.as_py().encode(), None], found.values
                 fields = (found.field(k).to_pylist() for k in range(4))
                 for gram, at, first, last in zip(*fields):
-                    key = data[at : last + LENGTH], data[first:at]
-                    held.setdefault(key, [gram % parts, []])[1].append((rid, at))
+                    kind = gram & 1
+                    if symbols[kind] is None:
+                        data = np.frombuffer(symbols[0], np.uint8)
+                        symbols[kind] = word_codes(data, *word_bounds(data, np.zeros(0, int), np.zeros(0, int))).tobytes()
+                    data, measure = symbols[kind], MEASURES[kind]
+                    key = data[at * measure.wide : (last + measure.length) * measure.wide], data[first * measure.wide : at * measure.wide], kind
+                    held.setdefault(key, [(gram >> 1) % parts * 2 + kind, []])[1].append((rid << 1 | kind, at))
                 if len(held) >= RUN:
                     yield from flush()
         yield from flush()
@@ -254,53 +361,56 @@ def _second_pass(parts: int):
     return run
 
 
-def _pairs(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int, int]]:
+def _pairs(group: list[tuple], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    wide = MEASURES[group[0][2] & 1].wide
     for i, (right, left, *_) in enumerate(group):
-        reach = len(right)
+        reach = len(right) // wide
         for j in range(i + 1, len(group)):
             reach = min(reach, shared[j])
-            if reach < GRAM:
+            if reach * wide < GRAM:
                 break
             other = group[j]
-            back = common(left[::-1], other[1][::-1])
+            back = common(left[::-1], other[1][::-1]) // wide
             for mine, of in ((i, group[i]), (j, other)):
-                low, high = max(LENGTH - len(of[0]), LENGTH - reach), min(len(of[1]), back)
+                low, high = max(length - len(of[0]) // wide, length - reach), min(len(of[1]) // wide, back)
                 if low <= high:
                     yield mine, low, high
 
 
-def _classes(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int, int]]:
+def _classes(group: list[tuple], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
     """As ``_pairs`` without pairs: at each offset, entries alike to the right and to the left share both classes."""
-    m = len(group)
+    m, wide = len(group), MEASURES[group[0][2] & 1].wide
     to_right = np.array(shared)
     back = [x[1][::-1] for x in group]
     order = sorted(range(m), key=back.__getitem__)
-    to_left = np.array([0, *(common(back[a], back[b]) for a, b in zip(order, order[1:]))])
+    to_left = np.array([0, *(common(back[a], back[b]) // wide for a, b in zip(order, order[1:]))])
     order = np.array(order)
-    low = np.array([LENGTH - len(x[0]) for x in group])
-    high = np.array([len(x[1]) for x in group])
-    offsets = np.arange(low.min(), high.max() + 1)
-    hit = np.zeros((m, len(offsets) + 1), bool)
-    left = np.empty(m, np.int64)
-    for k, o in enumerate(offsets):
-        right = np.cumsum(to_right < LENGTH - o)
+    low = np.array([length - len(x[0]) // wide for x in group])
+    high = np.array([len(x[1]) // wide for x in group])
+    left, since = np.empty(m, np.int64), np.full(m, -1)
+    for o in range(low.min(), high.max() + 2):
+        right = np.cumsum(to_right < length - o)
         left[order] = np.cumsum(to_left < o)
         own = np.nonzero((low <= o) & (o <= high))[0]
         _, inverse, counts = np.unique(right[own] * (m + 1) + left[own], return_inverse=True, return_counts=True)
-        hit[own[counts[inverse] > 1], k] = True
-    edge = np.diff(np.pad(hit, ((0, 0), (1, 0))).astype(np.int8), axis=1)
-    who, start = np.nonzero(edge == 1)
-    _, stop = np.nonzero(edge == -1)
-    yield from zip(who.tolist(), (offsets[0] + start).tolist(), (offsets[0] + stop - 1).tolist())
+        hit = np.zeros(m, bool)
+        hit[own[counts[inverse] > 1]] = True
+        for i in np.nonzero(~hit & (since >= 0))[0].tolist():
+            yield i, int(since[i]), o - 1
+        since = np.where(hit, np.where(since < 0, o, since), -1)
 
 
 def resolve(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(rid, start, stop) of what repeats among neighbours (right, left, rid, anchor, known) that share a gram."""
+    """(key, start, stop) of what repeats among neighbours (right, left, key, anchor, known) that share a gram; all in symbols."""
+    if not group:
+        return
+    measure = MEASURES[group[0][2] & 1]
+    wide = measure.wide
     places: dict[tuple[bytes, bytes], list] = {}
     kept, prefixes, reach = [], [], 1 << 30
     for n, x in zip(shared, group):
         same = places.setdefault(x[:2], [])
-        reach = min(reach, n)
+        reach = min(reach, n // wide)
         if not same:
             kept.append(x)
             prefixes.append(reach)
@@ -310,14 +420,14 @@ def resolve(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int, i
     for key, same in places.items():
         if len(same) > 1 or same[0][4]:
             whole.add(key)
-            for right, left, rid, at, known in same:
+            for right, left, of, at, known in same:
                 if not known:
-                    yield rid, at - len(left), at + len(right)
+                    yield of, at - len(left) // wide, at + len(right) // wide
     if len(kept) > 1:
-        for i, low, high in (_pairs if len(kept) <= PAIRS else _classes)(kept, prefixes):
-            right, left, rid, at, _ = kept[i]
+        for i, low, high in (_pairs if len(kept) <= PAIRS else _classes)(kept, prefixes, measure.length):
+            right, left, of, at, _ = kept[i]
             if (right, left) not in whole:
-                yield rid, at - high, at - low + LENGTH
+                yield of, at - high, at - low + measure.length
 
 
 def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,10 +444,10 @@ def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group.append(x)
             shared.append(n)
         spans = united([*spans, *resolve(group, shared)])
-        rid, start, stop = zip(*spans) if spans else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["rid", "start", "stop"])
+        key, start, stop = zip(*spans) if spans else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["key", "start", "stop"])
 
-    for batch in batches:
+    for batch in trimmed(batches):
         for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
             if part != here and blocks:
                 yield from out()
@@ -348,93 +458,118 @@ def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans, what else) to the latter with removed bytes, spans, digest and rest of each text."""
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column(0), batch.column(1)):
-            data, n, runs, at, kept = text.as_py().encode(), 0, 0, 0, []
-            for start, stop in sorted((x["start"], x["stop"]) for x in spans.as_py() or ()):
-                if start > at or not runs:
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [x[1:] for x in united([(0, *x) for x in spans])]
+
+
+def _cut(measures: tuple[Measure, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, spans, what else) to the latter, with removed bytes, spans, digest and rest of each text, and its passages and their words.
+
+        What ``measures`` found is removed, the passages counted whether or not they are.
+        """
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch.column(0), batch.column(1)):
+                data, found = text.as_py().encode(), spans.as_py() or ()
+                by = [_joined([(x["start"], x["stop"]) for x in found if x["low"] == m.low]) for m in MEASURES]
+                gone = list(by[BYTES.low]) if BYTES in measures else []
+                if by[WORDS.low] and WORDS in measures:
+                    begin, stop = word_bounds(np.frombuffer(data, np.uint8), np.zeros(0, int), np.zeros(0, int))
+                    gone += [(int(begin[a]), int(stop[b - 1])) for a, b in by[WORDS.low]]
+                gone = _joined(gone)
+                at, kept = 0, []
+                for start, end in gone:
                     kept.append(data[at:start])
-                    runs, at = runs + 1, start
-                n += max(0, stop - at)
-                at = max(at, stop)
-            kept.append(data[at:])
-            rest = b"".join(kept)
-            rows.append((n, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], [*batch.schema.names[2:], "n_removed", "n_spans", "kept_sha", "kept"])
+                    at = end
+                rest = b"".join([*kept, data[at:]])
+                passages = by[WORDS.low]
+                rows.append((len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"), len(passages), sum(b - a for a, b in passages)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], [*batch.schema.names[2:], "n_removed", "n_spans", "kept_sha", "kept", "n_passages", "n_passage_words"])
 
+    return run
 
-def repeats(rows: DataFrame, how: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def repeats(rows: DataFrame, how: str, measures: tuple[Measure, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For a stored (rid, text, ...): digests (rid, n_bytes, sha) of all rows, the rows with their ``anchors``, and (rid, spans) of what repeats.
 
     ``how`` joins rows and anchors: ``inner`` keeps the rows that have anchors, ``left`` all.
-    The joined rows are stored, so the texts are shuffled once.
+    The joined rows are stored, so the texts are shuffled once. A span is (low, start, stop), in
+    symbols of the measure that ``low`` names.
     """
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     passed = written(
-        streamed(texts).mapInArrow(_first_pass, "rid long, n_bytes long, sha string, gram long, anchor int, first int, last int"), "anchors"
+        streamed(texts).mapInArrow(_first_pass(measures), "rid long, n_bytes long, sha string, gram long, anchor int, first int, last int"), "anchors"
     )
     found = passed.where("gram IS NOT NULL").select("rid", "gram", "anchor", "first", "last")
     # A table of its own, so that both sides of the join are plain shuffles and a very common gram is split.
     twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    again = found.join(twice, "gram", "left_semi")
+    # Stored, so that the anchors' shuffles are gone before the texts are shuffled.
+    again = written(found.join(twice, "gram", "left_semi"), "again")
+    discard(twice)
+    if how == "left":
+        discard(passed)
     listed = again.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last")).alias("anchors"))
     joined = written(rows.join(listed, "rid", how), "suspects")
-    discard(twice)
+    discard(again)
     if how == "left":  # the joined rows are all there is to them now
         discard(rows)
-        discard(passed)
     suspects = joined.where("anchors IS NOT NULL")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    parts = max(parts, -(-many * 2 * LENGTH // PART))
+    parts = max(parts, -(-many * 2 * BYTES.length // PART))
     runs = written(
-        streamed(suspects.select("rid", "text", "anchors")).mapInArrow(_second_pass(parts), "part int, block binary, rid long, start int, stop int"),
+        streamed(suspects.select("rid", "text", "anchors")).mapInArrow(_second_pass(parts), "part int, block binary, key long, start int, stop int"),
         "runs",
     )
     dealt = runs.where("part IS NOT NULL").select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
-    spans = streamed(dealt).mapInArrow(_merge_pass, "rid long, start int, stop int")
-    spans = spans.unionByName(runs.where("part IS NULL").select("rid", "start", "stop"))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = streamed(dealt).mapInArrow(_merge_pass, "key long, start int, stop int")
+    spans = spans.unionByName(runs.where("part IS NULL").select("key", "start", "stop"))
+    low = F.col("key").bitwiseAND(1).cast("int").alias("low")
+    spans = spans.groupBy(F.shiftright("key", 1).alias("rid")).agg(F.collect_list(F.struct(low, "start", "stop")).alias("spans"))
     return passed.where("gram IS NULL").select("rid", "n_bytes", "sha"), joined, spans
 
 
-def _without(frame: DataFrame, *keep: str) -> DataFrame:
+def _without(frame: DataFrame, measures: tuple[Measure, ...], *keep: str) -> DataFrame:
     """(text, spans, kept columns) to the kept columns and what ``_cut`` adds."""
-    added = StructType.fromDDL("n_removed long, n_spans long, kept_sha string, kept string")
+    added = StructType.fromDDL("n_removed long, n_spans long, kept_sha string, kept string, n_passages long, n_passage_words long")
     schema = StructType([*frame.select(*keep).schema.fields, *added.fields])
-    return streamed(frame.select("text", "spans", *keep)).mapInArrow(_cut, schema)
+    return streamed(frame.select("text", "spans", *keep)).mapInArrow(_cut(measures), schema)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the bytes of repeats; all columns stay, whatever their names.
+def remove_repeats(docs: DataFrame, text: str = "text", measures: tuple[Measure, ...] = MEASURES) -> DataFrame:
+    """``docs`` without what repeats by any of ``measures``: strings of 400 bytes, passages of over 50 words.
 
-    Null texts stay null and match nothing. A character of which some bytes go, goes.
-    Repeated rows are rows of their own and repeat each other.
+    All columns stay, whatever their names. Null texts stay null and match nothing. A character
+    of which some bytes go, goes. Repeated rows are rows of their own and repeat each other. Of a
+    passage all occurrences go, as of a string; white space around it stays.
     """
     others = [c for c in docs.columns if c != text]
     packed = docs.select(
         F.struct(F.lit(0).alias("_"), *(docs[f"`{c}`"] for c in others)).alias("row"), docs[text].alias("text"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    _, joined, spans = repeats(written(packed, "documents"), "left")
+    _, joined, spans = repeats(written(packed, "documents"), "left", measures)
     clean = joined.where("anchors IS NULL").select("row", "text")
-    cut = _without(joined.where("anchors IS NOT NULL").drop("anchors").join(spans, "rid", "left"), "row")
+    cut = _without(joined.where("anchors IS NOT NULL").drop("anchors").join(spans, "rid", "left"), measures, "row")
     found = clean.unionByName(cut.select("row", F.col("kept").alias("text")))
     return found.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; null texts are empty."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, by strings of 400 bytes; null texts are empty.
+
+    Two columns follow: n_passages, the runs of words that passages of over 50 words cover which
+    also start anywhere else (the same document included), and n_passage_words, their words.
+    """
     rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), "documents")
-    whole, joined, spans = repeats(rows, "inner")
-    cut = _without(joined.select("rid", "text").join(spans, "rid"), "rid").drop("kept")
+    whole, joined, spans = repeats(rows, "inner", MEASURES)
+    cut = _without(joined.select("rid", "text").join(spans, "rid"), (BYTES,), "rid").drop("kept")
     found = rows.select("rid", "doc_id").join(whole, "rid").join(cut, "rid", "left")
-    none = F.lit(0).cast("long")
+    counted = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
     return found.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
-        F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+        "doc_id", "n_bytes", counted("n_removed"), counted("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+        counted("n_passages"), counted("n_passage_words"),
     )

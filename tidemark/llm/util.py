@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,6 +20,7 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: White space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Texts longer than this are split into words piece by piece.
 PIECE = 1 << 20
 _SPACE_BYTE, _SPACE_CHAR = re.compile(rb"[\x20\x09-\x0D]"), re.compile(r"\s")
@@ -30,11 +32,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all machines share: ``spark.checkpoint.dir``; where it is unset and there is but one machine, a folder of our own."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp())
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,7 +47,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the table stands for the frame from here on, so its shuffle files go with the job
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -56,6 +66,15 @@ def streamed(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; after the last, what the allocator of this worker keeps goes back to the system, where it can."""
+    yield from batches
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another system's C library
+        pass
+
+
 def discard(frame: DataFrame) -> None:
     """Removes what ``written`` wrote, once nothing reads it any more."""
     spark = frame.sparkSession
