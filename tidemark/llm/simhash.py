@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.util import LOWER_BYTES, streamed, word_pieces, written
+from tidemark.llm.util import LOWER_BYTES, streamed, trimmed, word_pieces, written
 
 SHINGLE = 4
 SEED = 42
@@ -31,6 +31,9 @@ SHORT = 48
 TILE = 1024
 #: Beyond this length a run is split again by pigeonhole before any comparison.
 LONG = 16384
+#: Runs above this length leave their task and meet again by finer keys: (blocks, blocks shared).
+HOT = 1 << 16
+FINER = ((5, 1), (6, 2), (8, 4))
 
 
 def _digests(words: list[bytes]) -> np.ndarray:
@@ -62,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             of = np.array([fingerprint(t.as_py()) for t in batch.column(len(keep))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(of)], [*keep, "fp"])
 
@@ -140,22 +143,67 @@ def _linked(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a run that a batch ends in is carried into the next."""
-    keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Rows (key, fp) sorted by key to links (a, b); the fingerprints of a run above HOT go on as (null, fp, key), to be met by finer keys.
+
+    A run that a batch ends in is carried into the next, HOT rows at most.
+    """
+    names = ["a", "b", "key"]
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], names)
+
+    def passed(key: int, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(values.view(np.int64)), pa.array(np.full(len(values), key))], names)
+
+    here, held, count, hot = None, [], 0, False
+
+    def end() -> Iterator[pa.RecordBatch]:
+        if held and not hot:
+            values = np.concatenate(held)
+            yield out(*_linked(np.zeros(len(values), np.int64), values))
+
     for batch in batches:
-        keys = np.r_[keys, batch.column(0).to_numpy()]
-        values = np.r_[values, batch.column(1).to_numpy().view(np.uint64)]
-        whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        a, b = _linked(keys[:whole], values[:whole])
-        keys, values = keys[whole:], values[whole:]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-    a, b = _linked(keys, values)
-    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(keys):
+            continue
+        cut = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
+        # Runs that lie within the batch are linked together; its last may go on.
+        first = 0
+        if keys[0] == here:
+            held, count, first = [*held, values[: cut[1]]], count + int(cut[1]), 1
+            if count > HOT or hot:
+                yield passed(here, np.concatenate(held))
+                held, hot = [], True
+        if first < len(cut) - 1:
+            yield from end()
+            long = np.flatnonzero(np.diff(cut[first:-1]) > HOT) + first
+            for k in long:
+                yield passed(keys[cut[k]], values[cut[k] : cut[k + 1]])
+            whole = np.ones(len(keys), bool)
+            whole[: cut[first]] = whole[cut[-2] :] = False
+            for k in long:
+                whole[cut[k] : cut[k + 1]] = False
+            if whole.any():
+                yield out(*_linked(keys[whole], values[whole]))
+            here, held, count, hot = keys[-1], [values[cut[-2] :]], int(cut[-1] - cut[-2]), False
+            if count > HOT:
+                yield passed(here, np.concatenate(held))
+                held, hot = [], True
+    yield from end()
+
+
+def _met(filed: DataFrame) -> DataFrame:
+    met = filed.repartition("key").sortWithinPartitions("key")
+    return written(streamed(met).mapInArrow(_runs, "a long, b long, key long"), "met")
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints connected by steps of up to four bits."""
+    """Links (a, b) that connect exactly the fingerprints connected by steps of up to four bits.
+
+    Fingerprints of a key that more than HOT share meet again by that key with each of five
+    blocks of all bits, one of which a close pair shares; where those are still too many, with
+    two of six, then with four of eight. What is left then is compared whole, in tiles.
+    """
     keys = []
     for number, choice in enumerate(CHOICES):
         key = F.lit(number).cast("long")
@@ -165,9 +213,43 @@ def links(distinct: DataFrame) -> DataFrame:
                 F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << wide) - 1).cast("long"))
             )
         keys.append(key)
-    filed = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    met = filed.repartition("key").sortWithinPartitions("key")
-    return streamed(met).mapInArrow(_runs, "a long, b long")
+    met = _met(distinct.select(F.explode(F.array(*keys)).alias("key"), "fp"))
+    found = met.where("key IS NULL").select("a", "b")
+    for parts, shared in FINER:
+        hot = met.where("key IS NOT NULL").select("key", F.col("b").alias("fp"))
+        if hot.isEmpty():
+            break
+        edges = [64 * k // parts for k in range(parts + 1)]
+        cut = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
+        finer = [F.xxhash64("key", F.lit(n), *(cut[k] for k in choice)) for n, choice in enumerate(combinations(range(parts), shared))]
+        met = _met(hot.select(F.explode(F.array(*finer)).alias("key"), "fp"))
+        found = found.unionByName(met.where("key IS NULL").select("a", "b"))
+    last = met.where("key IS NOT NULL").select("key", F.col("b").alias("fp"))
+    if not last.isEmpty():
+        tiles = last.repartition("key").sortWithinPartitions("key")
+        found = found.unionByName(streamed(tiles).mapInArrow(_whole_runs, "a long, b long"))
+    return found
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_runs``, each run held whole."""
+    here, held = None, []
+
+    def end() -> Iterator[pa.RecordBatch]:
+        if held:
+            values = np.concatenate(held)
+            a, b = _linked(np.zeros(len(values), np.int64), values)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    for batch in batches:
+        keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        cut = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else [0]
+        for x, y in zip(cut[:-1], cut[1:]):
+            if keys[x] != here:
+                yield from end()
+                here, held = keys[x], []
+            held.append(values[x:y])
+    yield from end()
 
 
 def _classes(marked: DataFrame) -> DataFrame:
