@@ -1,8 +1,9 @@
 """Byte-level BPE as a monoid: encode halves, join neighbours at their boundary.
 
 A text is the concatenation of the pattern's matches, each encoded by itself. A
-match is split in halves down to short leaves; the leaves are merged by rank, and
-two encoded neighbours are joined by re-encoding a window around their boundary.
+match that is no token is split in halves down to leaves of LEAF bytes; the leaves
+are merged by rank, and two encoded neighbours are joined by re-encoding a window
+around their boundary.
 
 When may the window stop growing? Write ``ok(x, y)`` if the merges alone turn the
 bytes of tokens x and y into exactly x, y. A token sequence is the encoding of its
@@ -12,14 +13,15 @@ alone, so such a merge would also happen there. Inside the window the encoding i
 right by construction, outside it both sides were right before; if the pairs at
 the window's two edges are ok too, no token outside can ever change.
 
-Decoding maps ids to bytes and concatenates, which is associative as it stands.
+Decoding goes up the same kind of tree: halves are decoded and concatenated, which
+is associative as it stands.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -29,9 +31,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import streamed
+from tidemark.llm.util import streamed, trimmed
 
-LEAF = 64
+#: Bytes of a leaf: ordinary words are longer.
+LEAF = 4
+#: Windows of more bytes are merged by a heap.
+WIDE = 128
+#: Ids of a leaf when decoding.
+RUN = 512
 #: Encoded matches remembered by a worker; the memory is emptied when full.
 REMEMBERED = 400_000
 #: Matches encoded before their ids are digested, which bounds what a very long text holds at once.
@@ -51,7 +58,7 @@ class Codec(dict):
 
     def merge(self, piece: bytes) -> list[int]:
         """The merges alone: always the adjacent pair of least rank, the leftmost of equals."""
-        if len(piece) > 2 * LEAF:
+        if len(piece) > WIDE:
             return self.merge_long(piece)
         ranks = self.ranks
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -118,7 +125,7 @@ class Codec(dict):
         piece = match.encode()
         whole = self.ranks.get(piece)
         ids = (whole,) if whole is not None else tuple(self.tree(piece))
-        if len(match) <= 4 * LEAF:
+        if len(match) <= 2 * WIDE:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[match] = ids
@@ -140,8 +147,12 @@ class Codec(dict):
     def encode(self, text: str | None) -> list[int]:
         return [*chain.from_iterable(self.slices(text))]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: Sequence[int]) -> bytes:
+        """The bytes of the ids: of each half, one after the other; leaves of RUN ids are looked up."""
+        if len(ids) <= RUN:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = RUN << ((len(ids) - 1) // RUN).bit_length() - 1
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the bytes they decode to."""
@@ -180,7 +191,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*held.value)
-        for batch in batches:
+        for batch in trimmed(batches):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids = pa.array([own.encode(x.as_py()) for x in part.column(at)], pa.list_(pa.int32()))
@@ -229,4 +240,5 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: s
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; see ``digests`` for odd rows."""
     return digests(docs)
