@@ -1,84 +1,154 @@
-"""Exact top-k inner products by impact-ordered, score-at-a-time blocks.
-
-Vectors are quantised to integers. A block of rows is indexed by impact: its components,
-by size, fall into segments, the largest first. A batch of queries adds one segment's
-products at a time. After each, Cauchy-Schwarz bounds what a row's remaining components
-can still add or take away; rows whose most is below the query's k-th least are out for
-good. A query stops only when few possible members are left (or no segment is), and these
-are scored again over all components, in exact integers.
+"""Exact top-k inner products from an impact-ordered index, score at a time.
+
+Vectors are quantised to integers. A block of rows is indexed as posting lists, one a
+component: its rows by falling impact (size of the component), those of equal impact a
+segment. A query meets segments in the order of what they add to a score, its own weight
+times their impact, the largest first: each round takes all segments above a level, adds
+their products to the rows' accumulators and counts what each row has met.
+
+What a row has not met yet is less than the level, times the components left, in either
+direction. Rows whose most is below the k-th least are out; a query stops when few rows are
+left, and no earlier. These possible members are scored again over all components, in exact
+integers. The first block's k-th score goes with the query to all others, so most rows there
+are out at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import streamed
+from tidemark.llm.util import streamed, written
 from tidemark.llm.vectors import best, meetings, taking_part
 
 SCALE = 64
 K = 20
-#: Rows of a block at most (about), queries of a batch, share of a block that is few.
-BLOCK, BATCH, FEW = 16384, 128, 0.01
-#: Segments end where this share of all squares is covered.
-SEGMENTS = (0.75, 0.95, 1.0)
+#: Rows and components of a block (about), share of its rows that is few.
+BLOCK, CELLS, FEW = 16384, 1 << 20, 0.02
+#: Rounds end where this share of a query's postings is met.
+ROUNDS = (0.5, 0.65, 0.75, 0.85, 0.92)
+#: Points by which the levels are found.
+POINTS = 64
+#: Sums below this are exact in floating point.
+EXACT = float(1 << 53)
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-class Block:
-    """ids; rows (integers); the segments by descending impact, each with the norms of what follows it."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        size = np.abs(rows.astype(float))
-        levels, counts = np.unique(size, return_counts=True)
-        share = np.cumsum((levels**2 * counts)[::-1])[::-1]
-        share = share / share[0] if share[0] else np.ones(len(levels))
-        # For each share, the largest level down to which that share of the squares is covered.
-        ends = [levels[np.nonzero(share >= min(x, share[0]))[0][-1]] if x < 1 else 0.0 for x in SEGMENTS]
-        self.segments, above = [], np.inf
-        for end in ends:
-            part = np.where((size >= end) & (size < above), rows, 0).astype(float)
-            rest = np.sqrt((np.where(size < end, size, 0) ** 2).sum(1))
-            self.segments.append((part, rest))
-            above = end
-        self.most = size.max() if size.size else 0.0
-
-    def top(self, names: np.ndarray, asked: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Query ids, row ids and exact scores of every query's first ``k`` of the block."""
-        own = asked.astype(float)
-        length = np.linalg.norm(own, axis=1)
-        k, few = min(k, len(self.ids)), max(4 * k, int(FEW * len(self.ids)))
-        partial = np.zeros((len(names), len(self.ids)))
-        partial[names[:, None] == self.ids] = -np.inf
-        open_, left = np.arange(len(names)), None
-        members: list[tuple[np.ndarray, np.ndarray]] = []
-        for number, (part, rest) in enumerate(self.segments):
-            partial[open_] += own[open_] @ part.T
-            # A little more than the bound, so that rounding cannot exclude a member.
-            may = (length[open_, None] * rest) * (1 + 1e-9) + 1e-6
-            least = np.partition(partial[open_] - may, -k, 1)[:, -k]
-            left = partial[open_] + may >= least[:, None]
-            left &= partial[open_] > -np.inf
-            done = (left.sum(1) <= few) | (number == len(self.segments) - 1)
-            row, place = np.nonzero(left[done])
-            members.append((open_[done][row], place))
-            open_ = open_[~done]
-            if not len(open_):
-                break
-        row, place = (np.concatenate(x) for x in zip(*members))
-        for a in range(0, len(row), 65536):
-            yield row[a : a + 65536], place[a : a + 65536], self.exact(asked, row[a : a + 65536], place[a : a + 65536])
+def quantised(vectors: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), as floats: whole numbers, exact but for the overflow of huge components, which are cut to 1e300."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(SCALE * vectors), -1e300, 1e300)
 
-    def exact(self, asked: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return (asked[row] * self.rows[place]).sum(1)
 
+def whole(vector: np.ndarray) -> list[int]:
+    """The same as integers of any size."""
+    return [SCALE * int(x) if abs(x) >= EXACT else int(np.floor(SCALE * x)) for x in vector.tolist()]
 
-def quantised(vectors: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(SCALE * vectors), -(2.0**62), 2.0**62).astype(np.int64)
+
+@dataclass
+class Met:
+    """How queries ended: closed in a round by proof, or with all postings met; possible members scored again."""
+
+    closed: list[int] = field(default_factory=lambda: [0] * len(ROUNDS))
+    to_the_end: int = 0
+    members: int = 0
+
+
+class Block:
+    """ids; vectors; for each component the rows by falling impact, with their values there."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.rows = ids, vectors, quantised(vectors)
+        self.n, self.d = self.rows.shape
+        order = np.argsort(-np.abs(self.rows), axis=0, kind="stable")
+        self.places = np.ascontiguousarray(order.T.astype(np.int32))
+        self.values = np.ascontiguousarray(np.take_along_axis(self.rows, order, 0).T)
+        self.impacts = np.abs(self.values)
+        self.points = self.impacts[:, np.linspace(0, self.n - 1, min(POINTS, self.n)).astype(int)]
+        self.most = self.impacts[:, 0].max()
+        by_id = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
+        self.by_id, self.firsts = (by_id, firsts) if len(firsts) < len(ids) else (None, None)
+        self.keys = len(firsts)
+
+    def edge(self, low: np.ndarray, k: int) -> float:
+        """The k-th of the rows' ``low``, a key once."""
+        if self.by_id is not None:
+            low = np.maximum.reduceat(low[self.by_id], self.firsts)
+        return np.partition(low, -k)[-k] if k <= len(low) else -np.inf
+
+    def members(self, name: int, asked: np.ndarray, k: int, least: float, met: Met) -> np.ndarray:
+        """Rows that may be among the first ``k`` and reach ``least``."""
+        own = self.ids == name
+        weight = np.abs(asked)
+        active = np.flatnonzero(weight)
+        spread = weight.max(initial=0) * self.most * max(self.d, 1)
+        if spread > 1e290:  # beyond what bounds in floating point can say
+            return np.flatnonzero(~own)
+        slack = 1e-9 * (spread + 1)  # rounding may not exclude a member
+        total, seen = np.zeros(self.n), np.zeros(self.n)
+        total[own] = -np.inf
+        few = max(4 * k, int(FEW * self.n))
+        done = np.zeros(self.d, np.int64)
+        steps = np.sort((weight[active, None] * self.points[active]).ravel())[::-1]
+        for number, share in enumerate((*ROUNDS, 1.0) if len(active) else ()):
+            last = share == 1
+            level = 0.0 if last else steps[min(int(share * len(steps)), len(steps) - 1)]
+            rows, adds = [], []
+            for c in active:
+                # Segments are taken whole: all rows of an impact that adds ``level`` or more.
+                to = self.n if last else int(np.searchsorted(-self.impacts[c], -level / weight[c], "right"))
+                if to > done[c]:
+                    rows.append(self.places[c, done[c] : to])
+                    adds.append(self.values[c, done[c] : to] * asked[c])
+                    done[c] = to
+            if rows:
+                at = np.concatenate(rows)
+                total += np.bincount(at, np.concatenate(adds), self.n)
+                seen += np.bincount(at, minlength=self.n)
+            left = (len(active) - seen) * level + slack
+            floor = max(least, self.edge(total - left, k))
+            may = total + left >= floor
+            count = int(np.count_nonzero(may))
+            if count <= few and not last:
+                met.closed[number] += 1
+                break
+        else:
+            met.to_the_end += 1
+            floor = max(least, self.edge(total - slack, k))
+            may = total + slack >= floor
+        may &= ~own
+        found = np.flatnonzero(may)
+        met.members += len(found)
+        return found
+
+    def exact(self, asked: np.ndarray, vector: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Scores of rows over all components, in integers; beyond 64 bits they are cut to the range of long."""
+        if np.abs(asked).max(initial=0) * self.most * max(self.d, 1) < EXACT:
+            return (self.rows[place] @ asked).astype(np.int64)
+        own = whole(vector)
+        sums = (sum(a * b for a, b in zip(own, whole(row))) for row in self.vectors[place])
+        return np.array([min(max(x, LONG[0]), LONG[1]) for x in sums], np.int64)
+
+    def top(self, name: int, vector: np.ndarray, k: int, least: float, met: Met) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the first ``k`` of the block that reach ``least``; a key once, ties to the smaller."""
+        asked = quantised(vector)
+        place = self.members(name, asked, min(k, self.keys), least, met)
+        score = self.exact(asked, vector, place)
+        ids = self.ids[place]
+        order = np.lexsort((ids, -score))
+        ids, score = ids[order], score[order]
+        if self.by_id is not None:
+            first = np.sort(np.unique(ids, return_index=True)[1])
+            ids, score = ids[first], score[first]
+        keep = score[:k] >= least
+        return ids[:k][keep], score[:k][keep]
 
 
 def search(frame: DataFrame, queries: Column, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -86,41 +156,51 @@ def search(frame: DataFrame, queries: Column, k: int = K, key: str = "vec_id", v
 
     ``queries`` is a condition on ``vec_id``. Rows with a null key and vectors that are null,
     empty or hold null or non-finite components take no part; vectors meet only those of their
-    own length. Rows that share a key are one; ties go to the smaller key. Scores are exact
-    while they fit 53 bits.
+    own length. Rows that share a key are one, of the higher score; ties go to the smaller key.
+    Scores are exact, and cut to the range of long beyond it. An empty table gives an empty result.
     """
     rows = taking_part(frame, key, vector, zero=True).withColumn("asks", queries)
-    count = rows.count()
-    blocks = max(1, -(-count // BLOCK))
+    count, cells = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-count // BLOCK), -(-cells // CELLS))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, Block] | None = None
-        for names, asked, ids, block in meetings(batches):
+        for names, asked, ids, block, least in meetings(batches):
             if held is None or held[0] is not ids:
-                held = (ids, Block(ids, quantised(block)))
-            for at in range(0, len(names), BATCH):
-                some, own = names[at : at + BATCH], quantised(asked[at : at + BATCH])
-                found = [*held[1].top(some, own, k)]
-                row, place, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
-                order = np.lexsort((ids[place], -score, row))
-                row, place, score = row[order], place[order], score[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some[row[first]]), pa.array(ids[place[first]]), pa.array(score[first].astype(np.int64))],
-                    ["query_id", "vec_id", "score"],
-                )
+                held = (ids, Block(ids, block))
+            met = Met()
+            found = [held[1].top(int(q), v, k, float(x), met) for q, v, x in zip(names, asked, least.to_numpy())]
+            counts = [len(x) for x, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(names, counts)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))],
+                ["query_id", "vec_id", "score"],
+            )
 
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     size = F.size("vector")
-    filed = rows.select(own.alias("block"), F.lit(0).cast("byte").alias("asks"), "vec_id", "vector")
-    # The stated queries meet every block once, in streams.
-    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).cast("byte").alias("asks"), "vec_id", "vector")
-    both = filed.unionByName(asked).select(F.xxhash64("block", size).alias("key"), "asks", "vec_id", "vector")
-    met = streamed(both.repartition("key").sortWithinPartitions("key", "asks")).mapInArrow(scored, "query_id long, vec_id long, score long")
-    return best(met, k, F.col("score").desc(), F.max("score"))
+    none = F.lit(float("-inf"))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    filed = rows.select(own.alias("block"), F.lit(0).cast("byte").alias("asks"), "vec_id", "vector", none.alias("least"))
+
+    def met(blocks_of: Column, asking: DataFrame, rows: DataFrame) -> DataFrame:
+        # The stated queries meet every block once, in streams.
+        asked = asking.select(F.explode(blocks_of).alias("block"), F.lit(1).cast("byte").alias("asks"), "vec_id", "vector", "least")
+        both = rows.unionByName(asked).select(F.xxhash64("block", size).alias("key"), "asks", "vec_id", "vector", "least")
+        return streamed(both.repartition("key").sortWithinPartitions("key", "asks")).mapInArrow(scored, "query_id long, vec_id long, score long")
+
+    asking = rows.where("asks")
+    found = met(F.array(F.lit(0)), asking.withColumn("least", none), filed.where("block = 0"))
+    if blocks > 1:
+        found = written(found, "first-block")
+        # The k-th score of a whole answer bounds the final one from below.
+        bound = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min("score").alias("edge")).where(F.col("n") >= k)
+        bound = bound.select(F.col("query_id").alias("vec_id"), (F.col("edge").cast("double") - F.abs(F.col("edge").cast("double")) * 1e-12).alias("least"))
+        asking = asking.join(bound, "vec_id", "left").withColumn("least", F.coalesce("least", none))
+        found = found.unionByName(met(F.sequence(F.lit(1), F.lit(blocks - 1)), asking, filed.where("block > 0")))
+    return best(found, k, F.col("score").desc(), F.max("score"))
 
 
 def op7(frame: DataFrame) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 highest of each row whose key is divisible by 20; see ``search`` for odd rows."""
     return search(frame, F.col("vec_id") % 20 == 0)
 
 

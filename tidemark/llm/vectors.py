@@ -29,16 +29,17 @@ def matrix(column: pa.ListArray, at: slice) -> np.ndarray:
     return part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
 
 
-def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (key, asks, vec_id, vector) sorted by key and asks: each piece of a key's queries with the key's whole block.
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array | None]]:
+    """Rows (key, asks, vec_id, vector, perhaps one more) sorted by key and asks: each piece of a key's queries with the key's whole block.
 
-    Yields query ids, query vectors, block ids, block vectors. Only the block is held.
+    Yields query ids, query vectors, block ids, block vectors, and the queries' further column. Only the block is held.
     """
     here, ids, rows = None, [], []
     block: tuple[np.ndarray, np.ndarray] | None = None
     for batch in batches:
         key, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         names, vectors = batch.column(2).to_numpy(), batch.column(3)
+        more = batch.column(4) if batch.num_columns > 4 else None
         cuts = np.r_[0, np.nonzero((np.diff(key) != 0) | (np.diff(asks) != 0))[0] + 1, len(key)] if len(key) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if key[a] != here:
@@ -48,7 +49,7 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
                 rows.append(matrix(vectors, slice(a, b)))
             elif ids:
                 block = block or (np.concatenate(ids), np.concatenate(rows))
-                yield names[a:b], matrix(vectors, slice(a, b)), *block
+                yield names[a:b], matrix(vectors, slice(a, b)), *block, None if more is None else more.slice(a, b - a)
 
 
 def best(found: DataFrame, k: int, order: Column, merge: Column) -> DataFrame:
