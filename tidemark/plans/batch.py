@@ -45,8 +45,8 @@ class Silver:
 
     def __init__(self, store: Store, namespace: str = "silver"):
         self.store = store
-        self.reference = {e: Table(store, f"{namespace}/ref_{e}", s) for e, s in SILVER.items()}
-        self.quarantine = Table(store, f"{namespace}/quarantine", QUARANTINE)
+        self.reference = {e: Table(store, f"{namespace}/ref_{e}", s, keys=ENTITIES[e].key) for e, s in SILVER.items()}
+        self.quarantine = Table(store, f"{namespace}/quarantine", QUARANTINE, partition_by=["logical_date"])
         self.reconciliation = Table(store, f"{namespace}/reconciliation", RECONCILIATION)
 
     def process(
