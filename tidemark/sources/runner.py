@@ -39,9 +39,8 @@ def extract(spark: SparkSession, registry: Registry, source_id: str, root: str,
         frame = files.rows_of(spark, path, fields(source.source_entity))
     else:
         version = files.identities(spark, path).first()["content_sha256"]
-        frame = files.read_csv(spark, path, fields(source.source_entity)).select(
-            "*", F.lit(f"sha256:{version}").alias("source_version"), F.concat(F.lit(f"content_sha256:{version}#row="), F.monotonically_increasing_id()).alias("source_locator")
-        )
+        numbered = files.read_numbered_csv(spark, path, fields(source.source_entity), "_row")
+        frame = numbered.withColumns({"source_version": F.lit(f"sha256:{version}"), "source_locator": F.concat(F.lit(f"content_sha256:{version}#row="), "_row")}).drop("_row")
     if frame.limit(source.max_records + 1).count() > source.max_records:
         raise rest.SourceError("max_records_exceeded", path)
     return frame
