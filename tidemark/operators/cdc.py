@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.functions.rules import first_reason
-from tidemark.schemas import CDC_ENTITIES, ENTITIES, LEDGER
+from tidemark.schemas import CDC_ENTITIES, ENTITIES, LEDGER, LEDGER_COMMON, NARROW, WIDE
 
 OPERATIONS = {"r": "snapshot_read", "c": "create", "u": "update", "d": "delete"}
 ROW_OPERATIONS = ("load", "insert", "update", "delete")
@@ -143,6 +143,7 @@ def parse_debezium(raw: DataFrame) -> DataFrame:
     return parsed.select(
         *raw.columns, "entity", pk.alias("pk"), F.when(F.col("value").isNull(), "tombstone").otherwise(F.col("e.op")).alias("op"),
         lsn.alias("lsn"), F.col("e.transaction.id").alias("tx"), number("e.transaction.total_order").alias("ord"),
+        F.col("e.source.txId").alias("source_tx"), number("e.transaction.data_collection_order").alias("collection_order"),
         F.col("e.source.ts_ms").alias("source_event_ts"), F.col("e.after").alias("after"), F.col("e.before").alias("before"),
         F.when(F.col("value").isNotNull(), reason).alias("reason"),
     )
@@ -225,9 +226,76 @@ def changelog(decided: DataFrame, keys: Sequence[str] = ("entity", "pk")) -> Dat
 def typed(ledger: DataFrame, entity: str, payload: str = "payload") -> DataFrame:
     """The live rows of one entity in its business columns; what does not fit a column is null."""
     data = F.from_json(payload, "map<string,string>")
-    columns = []
-    for field in LEDGER[entity].split(", "):
-        name, kind = field.split(" ")
-        text = F.element_at(data, name)
-        columns.append((F.try_to_timestamp(text) if kind == "timestamp" else text.try_cast(kind)).alias(name))
+    fields = (field.split(" ") for field in LEDGER[entity].split(", "))
+    columns = [_cast(F.element_at(data, name), kind).alias(name) for name, kind in fields]
     return ledger.where((F.col("entity") == entity) & ~F.coalesce("is_deleted", F.lit(False))).select(*columns)
+
+
+def lsn_text(lsn: Column) -> Column:
+    """An unsigned 64-bit position as ``X/Y``, in hexadecimal."""
+    half = F.lit(1 << 32).cast("decimal(20,0)")
+    low = lsn % half
+    return F.concat_ws("/", *(F.hex(c.cast("bigint")) for c in ((lsn - low) / half, low)))
+
+
+def ledger_rows(ledger: DataFrame, entity: str, schema: str = "commerce") -> DataFrame:
+    """One entity's ledger in full: business columns, then where each row comes from. Tombstones stay, without business values."""
+    own = ledger.where(F.col("entity") == entity)
+    data = F.from_json("payload", "map<string,string>")
+    deleted = F.coalesce("is_deleted", F.lit(False))
+    at = lambda c: F.try_to_timestamp(F.col(c).cast("string"))
+    audit = {
+        "payload_json": F.when(~deleted, F.col("payload")), "is_deleted": deleted, "source_schema": F.lit(schema), "source_table": F.col("entity"),
+        "primary_key_value": F.col("pk"), "source_lsn": F.when(F.col("lsn").isNotNull(), lsn_text(F.col("lsn"))), "source_lsn_int": F.col("lsn"),
+        "transaction_id": F.col("tx"), "transaction_record_id": F.col("rec"), "dms_operation": F.col("op"), "source_event_at": at("source_event_at"),
+        "applied_at": F.col("applied_at"), "ingested_at": F.col("applied_at"), "record_hash": F.col("record_hash"), "event_hash": F.col("hash"), "raw_event_json": F.col("raw"),
+    }
+    kinds = dict(f.split(" ") for f in LEDGER_COMMON.split(", "))
+    business = [_cast(F.when(~deleted, F.element_at(data, name)), kind).alias(name) for name, kind in (f.split(" ") for f in LEDGER[entity].split(", "))]
+    key = ENTITIES[entity].key[0]
+    business = [F.col("pk").alias(key) if c == key else b for c, b in zip((f.split(" ")[0] for f in LEDGER[entity].split(", ")), business)]
+    return own.select(*business, *(column.cast(kinds[name]).alias(name) for name, column in audit.items()))
+
+
+def _cast(text: Column, kind: str) -> Column:
+    return F.try_to_timestamp(text) if kind == "timestamp" else text.try_cast(kind)
+
+
+def wide(events: DataFrame, applied_at: Column) -> DataFrame:
+    """Parsed log events as rows of one wide shape, whatever the entity: its fields as text, null for the others', and the position.
+
+    An entity's own key falls back to the message key, so deletes have one.
+    """
+    keys = {ENTITIES[e].key[0]: e for e in CDC_ENTITIES}
+    position = {
+        "source_lsn": F.col("lsn").cast("string"), "source_tx_id": F.col("source_tx"), "transaction_id": F.col("tx"), "transaction_total_order": F.col("ord"),
+        "transaction_data_collection_order": F.col("collection_order"), "source_event_ts": F.col("source_event_ts"), "kafka_topic": F.col("topic"),
+        "kafka_partition": F.col("part"), "kafka_offset": F.col("off"), "applied_at": applied_at,
+    }
+
+    def field(name: str) -> Column:
+        if name in position:
+            return position[name]
+        if name == "entity":
+            return F.col("entity")
+        held = F.element_at("after", name)
+        return F.coalesce(held, F.when(F.col("entity") == keys[name], F.col("pk"))) if name in keys else held
+
+    return events.select(*(field(name).alias(name) for name in WIDE))
+
+
+def narrow(rows: DataFrame, entity: str) -> DataFrame:
+    """The rows of one entity in its columns, money as decimal(12,2), and the position; the log has no ``updated_at`` of its own."""
+    business = [F.col(n).try_cast("decimal(12,2)").alias(n) if n in ("unit_price", "order_total", "amount") else F.col(n) for n in NARROW[entity]]
+    position = WIDE[WIDE.index("source_lsn") :]
+    return rows.where(F.col("entity") == entity).select(*business, F.lit(None).cast("string").alias("updated_at"), *position)
+
+
+def to_event(frame: DataFrame) -> DataFrame:
+    """Each row as an event in JSON, nulls left out."""
+    return frame.select(F.to_json(F.struct(*frame.columns)).alias("event"))
+
+
+def from_event(frame: DataFrame, schema: str) -> DataFrame:
+    """The rows again; text that is no such event is a row of nulls."""
+    return frame.select(F.from_json("event", schema).alias("_e")).select("_e.*")

@@ -48,13 +48,36 @@ def mismatches(expected: DataFrame, actual: DataFrame, keys: Sequence[str], valu
     return joined.where(differ).select(*(F.coalesce(f"e.{k}", f"a.{k}").alias(k) for k in keys))
 
 
-def gate(results: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
-    """(gate_id, classification, failures, status) of each (id, classification, failing rows)."""
-    rows = [
-        rows.agg(F.count(F.lit(1)).alias("failures")).select(
-            F.lit(number).alias("gate_id"), F.lit(kind).alias("classification"), "failures"
-        )
-        for number, kind, rows in results
-    ]
-    status = F.when(F.col("failures") == 0, "passed").when(F.col("classification") == "BLOCKING", "blocked").otherwise("reported")
-    return reduce(DataFrame.unionByName, rows).withColumn("status", status)
+#: The gates and how binding each is.
+GATES = {
+    "Q01": "BLOCKING", "Q02": "BLOCKING", "Q03": "BLOCKING", "Q04": "BLOCKING", "Q05": "BLOCKING",
+    "Q06": "WARNING", "Q07": "WARNING", "Q08": "WARNING", "Q09": "INFORMATIONAL", "Q10": "INFORMATIONAL",
+}
+
+
+def counted(counts: Sequence[DataFrame], name: str, value: str) -> DataFrame:
+    """One-row frames of numbers as rows (name, value), a row a column."""
+    row = reduce(DataFrame.crossJoin, counts)  # one-row relations
+    pairs = [F.struct(F.lit(c).alias(name), F.col(c).cast("bigint").alias(value)) for c in row.columns]
+    return row.select(F.explode(F.array(*pairs)).alias("_pair")).select("_pair.*")
+
+
+def gate(counts: Sequence[DataFrame]) -> DataFrame:
+    """(gate_id, classification, failures, status) of one-row frames whose columns are gates.
+
+    A failure blocks or is reported; what informs is recorded, whatever its number.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in GATES.items() for x in pair])
+    kind = F.element_at(kinds, F.col("gate_id"))
+    status = F.when(kind == "INFORMATIONAL", "recorded").when(F.col("failures") == 0, "passed").when(kind == "BLOCKING", "blocked").otherwise("reported")
+    return counted(counts, "gate_id", "failures").select("gate_id", kind.alias("classification"), "failures", status.alias("status"))
+
+
+def key_excess(frame: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """One row: how many keys occur more than once."""
+    return duplicate_keys(frame, keys, "_n").agg(F.count(F.lit(1)).alias(name))
+
+
+def one_sided(left: DataFrame, right: DataFrame, key: str, name: str, values: Sequence[str] = ()) -> DataFrame:
+    """One row: keys that only one side has, or whose ``values`` differ."""
+    return mismatches(left.withColumn("_there", F.lit(True)), right.withColumn("_there", F.lit(True)), [key], ["_there", *values]).agg(F.count(F.lit(1)).alias(name))

@@ -161,15 +161,15 @@ def insert_once(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def counters(checked: DataFrame, entity: str, outcomes: DataFrame) -> DataFrame:
     """One row: input, accepted (repeats included), rejected, duplicate, winner, inserted, updated, unchanged."""
-    placed = ranked(checked.where("rejection_reason IS NULL"), ENTITIES[entity].key, freshness(entity))
-    of = checked.agg(
-        F.count(F.lit(1)).alias("input_count"),
-        F.count_if(F.col("rejection_reason").isNull()).alias("accepted_count"),
-        F.count_if(F.col("rejection_reason").isNotNull()).alias("rejected_count"),
-    )
-    won = placed.agg(F.count_if(F.col("_rank") > 1).alias("duplicate_count"), F.count_if(F.col("_rank") == 1).alias("unique_winner_count"))
-    done = outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(n) for o, n in (("insert", "inserted_count"), ("update", "updated_count"), ("unchanged", "unchanged_count"))))
-    return of.crossJoin(won).crossJoin(done)  # three one-row relations
+    valid = F.col("rejection_reason").isNull()
+    placed = ranked(checked.withColumn("_valid", valid), ["_valid", *ENTITIES[entity].key], freshness(entity))
+    count = lambda what, name: F.count_if(what).alias(name)
+    of = placed.agg(
+        F.count(F.lit(1)).alias("input_count"), count(valid, "accepted_count"), count(~valid, "rejected_count"),
+        count(valid & (F.col("_rank") > 1), "duplicate_count"), count(valid & (F.col("_rank") == 1), "unique_winner_count"),
+    )
+    done = outcomes.agg(*(count(F.col("outcome") == o, f"{n}_count") for o, n in (("insert", "inserted"), ("update", "updated"), ("unchanged", "unchanged"))))
+    return of.crossJoin(done)  # two one-row relations
 
 
 def numbered(rows: DataFrame, key: str, name: str, ranges: int = 64) -> DataFrame:

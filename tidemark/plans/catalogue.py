@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
@@ -79,8 +79,8 @@ MODELS: dict[str, Callable[[Source], DataFrame]] = {
     "dim_products": lambda s: gold.dim_products(s.stg_products),
     "dim_locations": lambda s: gold.dim_locations(s.stg_locations),
     "dim_date": lambda s: gold.dim_date(s.stg_orders, s.stg_payments),
-    "fct_orders": lambda s: gold.fct_orders(s.int_orders_enriched, s.dim_customers, s.dim_date),
-    "fct_payments": lambda s: gold.fct_payments(s.int_payments_enriched, gold.order_keys(s.stg_orders, s.dim_customers), s.dim_date),
+    "fct_orders": lambda s: gold.fct_orders(s.stg_orders, s.stg_rates, s.stg_customers),
+    "fct_payments": lambda s: gold.fct_payments(s.int_payments_enriched, gold.order_keys(s.stg_orders, s.dim_customers)),
     "mart_daily_sales": lambda s: gold.mart_daily_sales(s.fct_orders),
     "rates_checked": lambda s: silver.with_reason(_typed_rates(s), "exchange_rates"),
     "locations_checked": lambda s: silver.with_reason(_typed_locations(s), "locations"),
@@ -112,7 +112,7 @@ query("scan_incremental_half_open", "SELECT o_orderkey, o_orderdate FROM orders
       lambda s: s.orders.where(X.half_open(F.col("o_orderdate"), *(F.lit(x).cast(DAY) for x in ("1995-01-01", "1996-01-01")))).select("o_orderkey", "o_orderdate"))
 query("offset_pagination", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 50",
       lambda s: s.customer.select("c_custkey", "c_name").orderBy("c_custkey").offset(50).limit(25))
-query("ordered_scan", "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey)::INTEGER AS place FROM supplier WHERE s_suppkey % 5 = 0 ORDER BY s_suppkey LIMIT 500",
+query("ordered_scan", "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey)::INTEGER AS place FROM supplier ORDER BY s_suppkey",
       lambda s: silver.numbered(s.supplier, "s_suppkey", "place").select("s_suppkey", "s_name", "place").orderBy("s_suppkey"))
 query("topk_latest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10",
       lambda s: s.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(10))
@@ -126,12 +126,14 @@ query("normalize_rates", "SELECT * FROM rates_typed", _typed_rates)
 query("normalize_locations", "SELECT * FROM locations_typed", _typed_locations)
 query("optional_column_null", "SELECT location_id, location_type, NULL::VARCHAR AS opened_by FROM silver_locations",
       lambda s: (lambda f: f.select("location_id", X.optional(f, "location_type").alias("location_type"), X.optional(f, "opened_by").alias("opened_by")))(s.silver_locations))
-query("landing_envelope", """SELECT n_nationkey, n_name, 'run-7' AS ingestion_id, 'postgres' AS source_name, 'nation' AS source_entity, CAST(n_nationkey AS VARCHAR) AS source_record_key, NULL::VARCHAR AS source_extract_ts,
-  '2024-01-01T00:00:00Z' AS ingested_at, 'v1' AS source_version, 'nation#' || n_nationkey AS source_locator, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS record_hash FROM nation""",
-      lambda s: landing.envelope(s.nation.select("n_nationkey", "n_name"), ingestion_id="run-7", source_name="postgres", source_entity="nation",
+query("landing_envelope", """SELECT n_nationkey, n_name, n_regionkey, 'run-7' AS ingestion_id, 'postgres' AS source_name, 'nation' AS source_entity, CAST(n_nationkey AS VARCHAR) AS source_record_key, NULL::VARCHAR AS source_extract_ts,
+  '2024-01-01T00:00:00Z' AS ingested_at, 'v1' AS source_version, 'nation#' || n_nationkey AS source_locator, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS record_hash FROM nation""",
+      lambda s: landing.envelope(s.nation, ingestion_id="run-7", source_name="postgres", source_entity="nation",
           key=("n_nationkey",), ingested_at="2024-01-01T00:00:00Z", source_version="v1", locator=F.concat(F.lit("nation#"), "n_nationkey")))
-query("payload_to_json", """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}' AS payload FROM customer""",
-      lambda s: s.customer.select("c_custkey", X.canonical_json(["c_name", "c_custkey", "c_mktsegment"]).alias("payload")))
+_CUSTOMER = """'{"c_acctbal":"' || printf('%.2f', c_acctbal) || '","c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}'"""
+_customers = lambda s: s.customer.withColumn("c_acctbal", F.format_string("%.2f", "c_acctbal"))
+query("payload_to_json", f"SELECT c_custkey, {_CUSTOMER} AS payload FROM customer",
+      lambda s: (lambda f: f.select("c_custkey", X.canonical_json(f.columns).alias("payload")))(_customers(s)))
 query("safe_casts", "SELECT source_locator, try_cast(rate_date AS DATE) AS as_date, try_cast(rate AS DECIMAL(20,10)) AS as_rate, try_cast(retrieved_at AS TIMESTAMP) AS as_time FROM bronze_rates",
       lambda s: s.bronze_rates.select("source_locator", X.to_date(F.col("rate_date")).alias("as_date"), X.to_decimal(F.col("rate")).alias("as_rate"), F.try_to_timestamp("retrieved_at").cast(DAY).alias("as_time")))
 query("string_functions", "SELECT source_locator, trim(base_currency) AS trimmed, upper(quote_currency) AS uppered, lower(source_entity) AS lowered, length(rate)::INTEGER AS rate_length FROM bronze_rates",
@@ -203,9 +205,8 @@ query("batch_reconciliation", """SELECT count(*) AS input_count, count(*) FILTER
   (SELECT count(*) FROM rates_ranked WHERE n > 1) AS duplicate_count, (SELECT count(*) FROM winners) AS unique_winner_count, (SELECT count(*) FROM outcomes WHERE outcome = 'insert') AS inserted_count,
   (SELECT count(*) FROM outcomes WHERE outcome = 'update') AS updated_count, (SELECT count(*) FROM outcomes WHERE outcome = 'unchanged') AS unchanged_count FROM rates_checked""",
       lambda s: silver.counters(s.rates_checked, "exchange_rates", silver.classify(s.winners, s.silver_target, RATE_KEYS, newer_rate())))
-query("content_checksum", """SELECT sha256(string_agg(b || d, '' ORDER BY b)) AS checksum FROM (SELECT b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM
-  (SELECT h, substr(h, 1, 3) AS b FROM (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS h FROM customer)) GROUP BY b)""",
-      lambda s: landing.content_checksum(s.customer.select("c_custkey", "c_name")))
+query("content_checksum", "SELECT sha256(concat_ws('|', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::UBIGINT)::VARCHAR" for k in range(8)) + f")) AS checksum FROM (SELECT sha256({_CUSTOMER}) AS h FROM customer)",
+      lambda s: landing.content_checksum(_customers(s)))
 query("run_summary", "SELECT count(*) AS outcomes, sum(n_chars)::BIGINT AS record_count, list_sort(list_distinct(list(lang))) AS statuses FROM documents",
       lambda s: s.documents.agg(n().alias("outcomes"), F.sum("n_chars").alias("record_count"), F.array_sort(F.collect_set("lang")).alias("statuses")))
 query("schema_evolution_union", "SELECT r_regionkey AS id, r_name AS name, NULL::VARCHAR AS source_note FROM region UNION ALL SELECT n_nationkey, n_name, 'added' FROM nation",
@@ -218,7 +219,7 @@ query("isin_filter", "SELECT rate_date, base_currency, manifest_key FROM silver_
       lambda s: s.silver_rates.where(F.col("manifest_key").isin("manifest-EUR", "manifest-none")).select("rate_date", "base_currency", "manifest_key"))
 query("any_null_or_invalid", "SELECT source_locator FROM rates_typed WHERE rate_date IS NULL OR rate IS NULL OR retrieved_at IS NULL OR rate <= 0",
       lambda s: _typed_rates(s).where(quality.any_null(["rate_date", "rate", "retrieved_at"]) | (F.col("rate") <= 0)).select("source_locator"))
-query("route_by_type", "SELECT entity, count(*) AS row_count FROM cdc_positions WHERE entity IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY ALL",
+query("route_by_type", "SELECT entity, count(*) AS row_count FROM cdc_positions GROUP BY ALL",
       lambda s: s.cdc_positions.groupBy("entity").agg(n().alias("row_count")))
 query("live_rows", "SELECT order_id FROM core_orders WHERE NOT coalesce(is_deleted, false)", lambda s: gold.live(s.core_orders).select("order_id"))
 
@@ -226,6 +227,9 @@ query("live_rows", "SELECT order_id FROM core_orders WHERE NOT coalesce(is_delet
 for _name in ("stg_orders", "stg_customers", "stg_payments", "stg_products", "stg_rates", "stg_locations", "int_orders_enriched", "int_payments_enriched",
               "dim_customers", "dim_products", "dim_locations", "dim_date", "fct_orders", "fct_payments", "mart_daily_sales"):
     query(_name, f"SELECT * FROM {_name}", MODELS[_name])
+query("stg_orders_v1", "SELECT order_id, customer_id, order_status, CAST(order_ts AS DATE) AS order_date, currency, order_total, updated_at, source_lsn, applied_at FROM core_orders", lambda s: gold.stg_orders_v1(s.core_orders))
+query("stg_payments_v1", "SELECT payment_id, order_id, payment_status, CAST(payment_ts AS DATE) AS payment_date, amount, currency, authorization_code, updated_at, source_lsn, applied_at FROM core_payments",
+      lambda s: gold.stg_payments_v1(s.core_payments))
 query("dim_date_v1", "SELECT date_day, year(date_day)::INTEGER AS calendar_year, month(date_day)::INTEGER AS calendar_month, dayofweek(date_day)::INTEGER AS day_of_week FROM observed_dates",
       lambda s: gold.dim_date_v1(s.stg_orders, s.stg_payments))
 query("fct_orders_incremental_candidates", "SELECT * FROM fresh_orders", lambda s: gold.order_candidates(s.fct_orders, s.prior_orders))
@@ -263,6 +267,18 @@ query("cdc_envelope_validate", f"SELECT event_id AS off, {_MESSAGE_REASON} AS re
 query("cdc_bronze_archive", f"""SELECT event_id AS off, split_part(m.topic, '.', 3) AS entity, CASE WHEN ({_MESSAGE_REASON}) IS NOT NULL THEN 'unparsed' WHEN event_id % 23 = 0 THEN 'tombstone' ELSE substr('rcud', 1 + (event_id % 6)::INTEGER, 1) END AS op,
   m.value AS envelope, '2024-01-01' AS event_date FROM events JOIN messages m ON m.off = event_id""",
       lambda s: cdc.archive(cdc.parse_debezium(s.messages), F.lit("2024-01-01T00:00:00Z")).select("off", "entity", "op", "envelope", "event_date"))
+_GOOD = f"SELECT event_id, split_part(m.topic, '.', 3) AS entity, m.topic, m.value FROM events JOIN messages m ON m.off = event_id WHERE m.value IS NOT NULL AND ({_MESSAGE_REASON}) IS NULL"
+_AT = "2024-01-01 00:00:00"
+_TEXT = lambda c: f"json_extract_string(value, '$.after.{c}')"
+_KEYS = {f"{e[:-1]}_id": f"coalesce({_TEXT(f'{e[:-1]}_id')}, CASE WHEN entity = '{e}' THEN NULL END)" for e in S.CDC_ENTITIES}
+_POSITION = {"source_lsn": "CAST(event_id AS VARCHAR)", "source_tx_id": "NULL::VARCHAR", "transaction_id": "'t1'", "transaction_total_order": "3::BIGINT", "transaction_data_collection_order": "NULL::BIGINT",
+             "source_event_ts": "CAST(1700000000000 + event_id AS VARCHAR)", "kafka_topic": "topic", "kafka_partition": "0", "kafka_offset": "event_id", "applied_at": f"TIMESTAMP '{_AT}'"}
+_WIDE = "SELECT " + ", ".join(f"{({'entity': 'entity'} | _KEYS | _POSITION).get(c, _TEXT(c))} AS {c}" for c in S.WIDE) + f" FROM ({_GOOD})"
+_wide = lambda s: cdc.wide(cdc.parse_debezium(s.messages).where("reason IS NULL AND value IS NOT NULL"), F.lit(_AT).cast(DAY))
+query("cdc_wide_rows", _WIDE, _wide)
+query("cdc_core_orders", f"SELECT order_id, customer_id, order_status, order_ts, currency, CAST(order_total AS DECIMAL(12,2)) AS order_total, NULL::VARCHAR AS updated_at, {', '.join(_POSITION)} FROM ({_WIDE}) WHERE entity = 'orders'",
+      lambda s: cdc.narrow(_wide(s), "orders"))
+query("cdc_event_json", "SELECT seq, entity, pk, op, lsn FROM cdc_positions", lambda s: cdc.from_event(cdc.to_event(s.cdc_positions), s.cdc_positions.schema.simpleString()).select("seq", "entity", "pk", "op", "lsn"))
 query("cdc_decisions_dms", "SELECT entity, pk, seq, decision FROM fold_positions", lambda s: cdc.position_decisions(s.cdc_positions).select("entity", "pk", "seq", "decision"))
 query("cdc_decisions_debezium", "SELECT entity, pk, seq, decision FROM fold_log", lambda s: cdc.log_decisions(s.cdc_log).select("entity", "pk", "seq", "decision"))
 query("cdc_decision_histogram", "SELECT decision, count(*) AS row_count FROM fold_positions GROUP BY ALL",
@@ -274,19 +290,26 @@ query("cdc_quarantine", """SELECT seq, CASE decision WHEN 'stale' THEN 'stale_so
 query("cdc_changelog", """SELECT entity, pk, seq, CASE WHEN op = 'delete' THEN 'delete' WHEN there THEN 'update_after' ELSE 'insert' END AS change_type FROM
   (SELECT *, coalesce(lag(op <> 'delete') OVER (PARTITION BY entity, pk ORDER BY seq), false) AS there FROM fold_positions WHERE decision LIKE 'applied%') WHERE op <> 'delete' OR there""",
       lambda s: cdc.changelog(cdc.position_decisions(s.cdc_positions)).select("entity", "pk", "seq", "change_type"))
-query("event_dedup_by_id", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type, user_id",
+query("event_dedup_by_id", "SELECT * FROM (SELECT * FROM events UNION ALL SELECT * FROM events) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1",
       lambda s: stream.once_by_id(s.events.unionByName(s.events)))
 
 # Reconciliation and quality.
 query("anti_join_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
       lambda s: s.customer.join(s.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"))
-query("recon_bidirectional_anti", "SELECT 'source_not_silver' AS exception_type, order_id FROM stg_orders WHERE order_id NOT IN (SELECT order_id FROM prior_orders) UNION ALL SELECT 'silver_not_source', order_id FROM prior_orders WHERE order_id NOT IN (SELECT order_id FROM stg_orders WHERE order_status <> 'cancelled') AND order_status = 'none'",
-      lambda s: quality.missing_both_ways(s.stg_orders, s.prior_orders, "order_id", ("source_not_silver", "silver_not_source")))
+_SOURCE = "SELECT order_id FROM stg_orders WHERE CAST(order_id AS BIGINT) % 7 <> 0"
+query("recon_bidirectional_anti", f"""SELECT 'source_not_silver' AS exception_type, order_id FROM ({_SOURCE}) WHERE order_id NOT IN (SELECT order_id FROM prior_orders)
+  UNION ALL SELECT 'silver_not_source', order_id FROM prior_orders WHERE order_id NOT IN ({_SOURCE})""",
+      lambda s: quality.missing_both_ways(s.stg_orders.where(F.col("order_id").cast("bigint") % 7 != 0), s.prior_orders, "order_id", ("source_not_silver", "silver_not_source")))
 query("recon_left_is_null", "SELECT 'silver_not_gold' AS exception_type, c.order_id FROM core_orders c LEFT JOIN stg_orders s ON c.order_id = s.order_id WHERE s.order_id IS NULL",
       lambda s: s.core_orders.alias("c").join(s.stg_orders.alias("s"), F.col("c.order_id") == F.col("s.order_id"), "left").where("s.order_id IS NULL").select(F.lit("silver_not_gold").alias("exception_type"), F.col("c.order_id").alias("order_id")))
-_ALTERED = "SELECT order_date, source_currency, order_count + CASE WHEN day(order_date) = 3 THEN 1 ELSE 0 END AS order_count, CASE WHEN day(order_date) = 5 THEN NULL ELSE converted_sales_dkk END AS converted_sales_dkk FROM mart_daily_sales WHERE day(order_date) <> 9"
-query("recon_full_outer", f"SELECT coalesce(e.order_date, a.order_date) AS order_date, coalesce(e.source_currency, a.source_currency) AS source_currency FROM mart_daily_sales e FULL JOIN ({_ALTERED}) a ON e.order_date = a.order_date AND e.source_currency = a.source_currency WHERE e.order_count IS DISTINCT FROM a.order_count OR e.converted_sales_dkk IS DISTINCT FROM a.converted_sales_dkk",
-      lambda s: quality.mismatches(s.mart_daily_sales, s.mart_daily_sales.where("day(order_date) <> 9").select("order_date", "source_currency", (F.col("order_count") + F.when(F.dayofmonth("order_date") == 3, 1).otherwise(0)).alias("order_count"), F.when(F.dayofmonth("order_date") != 5, F.col("converted_sales_dkk")).alias("converted_sales_dkk")), ["order_date", "source_currency"], ["order_count", "converted_sales_dkk"]))
+#: By day of the month, a mart with one value off, one after the other, and days that are not there.
+_OFF = {"order_count": (3, "order_count + 1"), "source_customer_count": (4, "source_customer_count - 1"), "converted_sales_dkk": (5, "NULL"), "source_gross_sales": (6, "CAST(source_gross_sales + 1 AS DECIMAL(18,2))"),
+        "missing_rate_order_count": (7, "missing_rate_order_count + 2"), "orphan_customer_order_count": (8, "NULL")}
+_OFF = {c: f"CASE WHEN day(order_date) = {day} THEN {value} ELSE {c} END" for c, (day, value) in _OFF.items()}
+_ALTERED = "SELECT order_date, source_currency, " + ", ".join(f"{case} AS {c}" for c, case in _OFF.items()) + " FROM mart_daily_sales WHERE day(order_date) <> 9"
+query("recon_full_outer", f"SELECT coalesce(e.order_date, a.order_date) AS order_date, coalesce(e.source_currency, a.source_currency) AS source_currency FROM mart_daily_sales e FULL JOIN ({_ALTERED}) a ON e.order_date = a.order_date AND e.source_currency = a.source_currency WHERE "
+      + " OR ".join(f"e.{c} IS DISTINCT FROM a.{c}" for c in _OFF),
+      lambda s: quality.mismatches(s.mart_daily_sales, s.mart_daily_sales.where("day(order_date) <> 9").selectExpr("order_date", "source_currency", *(f"{case} AS {c}" for c, case in _OFF.items())), ["order_date", "source_currency"], list(_OFF)))
 query("orphan_payments", "SELECT payment_id, source_order_id FROM fct_payments WHERE matched_order_id IS NULL",
       lambda s: quality.orphans(s.fct_payments, "source_order_id", s.fct_orders, "order_id").select("payment_id", "source_order_id"))
 query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem GROUP BY ALL HAVING count(*) > 1",
@@ -304,16 +327,85 @@ query("test_relationships", "SELECT order_id FROM stg_orders WHERE customer_id N
       lambda s: quality.orphans(s.stg_orders, "customer_id", s.dim_customers, "customer_id").select("order_id"))
 query("test_nonnegative", "SELECT order_id AS business_key FROM fct_orders WHERE source_order_total - 50000 < 0 UNION ALL SELECT payment_id FROM fct_payments WHERE source_amount - 5000 < 0",
       lambda s: s.fct_orders.where("source_order_total - 50000 < 0").select(F.col("order_id").alias("business_key")).union(s.fct_payments.where("source_amount - 5000 < 0").select("payment_id")))
-query("test_conversion_contract", """SELECT order_id FROM fct_orders WHERE (source_currency = 'DKK' AND order_total_dkk <> source_order_total) OR (source_currency <> 'DKK' AND dkk_rate > 0 AND order_total_dkk <> CAST(round(source_order_total * dkk_rate, 2) AS DECIMAL(18,2)))
-  OR (source_currency <> 'DKK' AND dkk_rate IS NULL AND (order_total_dkk IS NOT NULL OR NOT missing_dkk_rate))""",
-      lambda s: s.fct_orders.where("(source_currency = 'DKK' AND order_total_dkk <> source_order_total) OR (source_currency <> 'DKK' AND dkk_rate > 0 AND order_total_dkk <> CAST(round(source_order_total * dkk_rate, 2) AS DECIMAL(18,2))) OR (source_currency <> 'DKK' AND dkk_rate IS NULL AND (order_total_dkk IS NOT NULL OR NOT missing_dkk_rate))").select("order_id"))
+_CONTRACT = """(source_currency = 'DKK' AND order_total_dkk <> source_order_total) OR (source_currency <> 'DKK' AND dkk_rate > 0 AND order_total_dkk <> CAST(round(source_order_total * dkk_rate, 2) AS DECIMAL(18,2)))
+  OR (source_currency <> 'DKK' AND dkk_rate IS NULL AND (order_total_dkk IS NOT NULL OR NOT missing_dkk_rate))"""
+#: Some facts are broken on purpose, in each of the three ways; the check has to find these and no others.
+_BROKEN = {"order_total_dkk": "CASE WHEN CAST(order_id AS BIGINT) % 11 = 0 THEN CAST(coalesce(order_total_dkk, 0) + 0.01 AS DECIMAL(18,2)) ELSE order_total_dkk END",
+           "missing_dkk_rate": "CASE WHEN CAST(order_id AS BIGINT) % 13 = 0 THEN false ELSE missing_dkk_rate END"}
+query("test_conversion_contract", f"SELECT order_id FROM (SELECT * REPLACE ({', '.join(f'{case} AS {c}' for c, case in _BROKEN.items())}) FROM fct_orders) WHERE {_CONTRACT}",
+      lambda s: s.fct_orders.withColumns({c: F.expr(case) for c, case in _BROKEN.items()}).where(_CONTRACT).select("order_id"))
 query("test_valid_rates", "SELECT source_locator FROM rates_typed WHERE rate <= 0 OR base_currency = quote_currency OR rate_date IS NULL",
       lambda s: _typed_rates(s).where("rate <= 0 OR base_currency = quote_currency OR rate_date IS NULL").select("source_locator"))
-query("quality_gate_summary", """SELECT gate_id, classification, failures, CASE WHEN failures = 0 THEN 'passed' WHEN classification = 'BLOCKING' THEN 'blocked' ELSE 'reported' END AS status FROM (
-  SELECT 'Q01' AS gate_id, 'BLOCKING' AS classification, (SELECT count(*) FROM (SELECT order_id FROM stg_orders GROUP BY 1 HAVING count(*) > 1)) AS failures UNION ALL SELECT 'Q03', 'BLOCKING', (SELECT count(*) FROM rates_checked WHERE rejection_reason IS NOT NULL)
-  UNION ALL SELECT 'Q06', 'WARNING', (SELECT count(*) FROM fct_orders WHERE missing_dkk_rate) UNION ALL SELECT 'Q07', 'WARNING', (SELECT count(*) FROM fct_payments WHERE matched_order_id IS NULL))""",
-      lambda s: quality.gate([("Q01", "BLOCKING", quality.duplicate_keys(s.stg_orders, ["order_id"])), ("Q03", "BLOCKING", silver.split(s.rates_checked)[1]),
-          ("Q06", "WARNING", s.fct_orders.where("missing_dkk_rate")), ("Q07", "WARNING", quality.orphans(s.fct_payments, "source_order_id", s.fct_orders, "order_id"))]))
+_STALE = "SELECT seq, lsn, max(lsn) OVER (PARTITION BY entity, pk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM fold_positions WHERE decision LIKE 'applied%' AND op <> 'load'"
+query("quality_gate_summary", f"""SELECT gate_id, classification, failures::BIGINT AS failures, CASE WHEN classification = 'INFORMATIONAL' THEN 'recorded' WHEN failures = 0 THEN 'passed' WHEN classification = 'BLOCKING' THEN 'blocked' ELSE 'reported' END AS status FROM (
+  SELECT 'Q01' AS gate_id, 'BLOCKING' AS classification, (SELECT count(*) FROM (SELECT order_id FROM stg_orders GROUP BY 1 HAVING count(*) > 1)) AS failures
+  UNION ALL SELECT 'Q02', 'BLOCKING', (SELECT count(*) FROM ({_STALE}) WHERE lsn < top)
+  UNION ALL SELECT 'Q03', 'BLOCKING', (SELECT count(*) FROM rates_checked WHERE rejection_reason IS NOT NULL)
+  UNION ALL SELECT 'Q04', 'BLOCKING', (SELECT count(*) FROM (SELECT ingestion_id, source_locator FROM bronze_rates GROUP BY ALL HAVING count(*) > 1))
+  UNION ALL SELECT 'Q05', 'BLOCKING', (SELECT count(*) FROM fct_orders WHERE order_id IS NULL OR source_order_total < 0 OR date_sk IS NULL)
+  UNION ALL SELECT 'Q06', 'WARNING', (SELECT count(*) FROM fct_orders WHERE missing_dkk_rate)
+  UNION ALL SELECT 'Q07', 'WARNING', (SELECT count(*) FROM fct_payments WHERE matched_order_id IS NULL)
+  UNION ALL SELECT 'Q08', 'WARNING', (SELECT count(*) FROM rates_ranked WHERE n > 1) + (SELECT count(*) FROM rates_checked WHERE rejection_reason IS NOT NULL)
+  UNION ALL SELECT 'Q09', 'INFORMATIONAL', (SELECT count(DISTINCT manifest_key) FROM silver_rates)
+  UNION ALL SELECT 'Q10', 'INFORMATIONAL', (SELECT date_diff('hour', max(order_ts), max(ingested_at)) FROM core_orders))""",
+      lambda s: quality.gate(_gates(s)))
+
+
+def _gates(s: Source) -> list[DataFrame]:
+    """Each model once: the gates that look at it are counts of one aggregate."""
+    applied = cdc.position_decisions(s.cdc_positions).where(F.col("decision").isin(*cdc.APPLIED) & (F.col("op") != "load"))
+    top = F.max("lsn").over(Window.partitionBy("entity", "pk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    counters = silver.counters(s.rates_checked, "exchange_rates", s.rates_checked.limit(0).select(F.lit("none").alias("outcome")))
+    facts = s.fct_orders.agg(
+        F.count_if(F.col("order_id").isNull() | (F.col("source_order_total") < 0) | F.col("date_sk").isNull()).alias("Q05"), F.count_if("missing_dkk_rate").alias("Q06")
+    )
+    return [
+        quality.key_excess(s.stg_orders, ["order_id"], "Q01"),
+        applied.withColumn("_top", top).agg(F.count_if(F.col("lsn") < F.col("_top")).alias("Q02")),
+        counters.select(F.col("rejected_count").alias("Q03"), (F.col("rejected_count") + F.col("duplicate_count")).alias("Q08")),
+        quality.key_excess(s.bronze_rates, ["ingestion_id", "source_locator"], "Q04"),
+        facts,
+        s.int_payments_enriched.agg(F.count_if("orphan_order").alias("Q07")),
+        s.silver_rates.agg(F.count_distinct("manifest_key").alias("Q09")),
+        s.core_orders.agg(F.timestamp_diff("HOUR", F.max("order_ts"), F.max("ingested_at")).alias("Q10")),
+    ]
+
+
+#: What reconciles with what: (keys that only one side has, or whose values differ) or a count of exceptions.
+_RECON = {
+    "R01": "SELECT count(*) FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders) s FULL JOIN stg_orders c ON s.k = c.order_id WHERE s.k IS NULL OR c.order_id IS NULL OR s.v <> c.order_total",
+    "R02": "SELECT count(*) FROM (SELECT DISTINCT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS k FROM lineitem) s FULL JOIN stg_payments c ON s.k = c.payment_id WHERE s.k IS NULL OR c.payment_id IS NULL",
+    "R03": "SELECT count(*) FROM stg_orders s FULL JOIN fct_orders g ON s.order_id = g.order_id WHERE s.order_id IS NULL OR g.order_id IS NULL OR s.order_total <> g.source_order_total",
+    "R04": "SELECT count(*) FROM stg_payments s FULL JOIN fct_payments g ON s.payment_id = g.payment_id WHERE s.payment_id IS NULL OR g.payment_id IS NULL OR s.amount <> g.source_amount",
+    "R05": "SELECT count(*) FROM (SELECT order_date, source_currency, sum(source_order_total)::DECIMAL(18,2) AS v FROM fct_orders GROUP BY ALL) e FULL JOIN mart_daily_sales a ON e.order_date = a.order_date AND e.source_currency = a.source_currency WHERE e.v IS DISTINCT FROM a.source_gross_sales",
+    "R06": "SELECT count(*) FROM fct_orders WHERE missing_dkk_rate",
+    "R07": "SELECT count(*) FROM fct_payments p WHERE source_order_id NOT IN (SELECT order_id FROM fct_orders)",
+    "R08": "SELECT count(*) FROM core_orders c JOIN fct_orders g ON c.order_id = g.order_id WHERE coalesce(c.is_deleted, false)",
+    "R09": "SELECT count(*) FROM (SELECT order_id FROM core_orders GROUP BY 1 HAVING count(*) > 1)",
+    "R10": "SELECT count(*) FROM core_orders WHERE order_id IS NULL OR customer_id IS NULL OR source_lsn IS NULL",
+}
+
+
+def _recon(s: Source) -> list[DataFrame]:
+    total = lambda frame, name: frame.agg(n().alias(name))
+    orders = s.orders.select(F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("order_total"))
+    payments = s.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("payment_id")).distinct()
+    staged, facts = s.stg_orders.select("order_id", "order_total"), s.fct_orders
+    paid = s.fct_payments.select("payment_id", F.col("source_amount").alias("amount"), "source_order_id")
+    sums = facts.groupBy("order_date", "source_currency").agg(F.sum("source_order_total").cast("decimal(18,2)").alias("source_gross_sales"))
+    ledger = s.core_orders.agg(F.count_if(quality.any_null(["order_id", "customer_id", "source_lsn"])).alias("R10"))
+    return [
+        quality.one_sided(orders, staged, "order_id", "R01", ["order_total"]), quality.one_sided(payments, s.stg_payments.select("payment_id"), "payment_id", "R02"),
+        quality.one_sided(staged, facts.select("order_id", F.col("source_order_total").alias("order_total")), "order_id", "R03", ["order_total"]),
+        quality.one_sided(s.stg_payments.select("payment_id", "amount"), paid.drop("source_order_id"), "payment_id", "R04", ["amount"]),
+        total(quality.mismatches(sums, s.mart_daily_sales, ["order_date", "source_currency"], ["source_gross_sales"]), "R05"),
+        facts.agg(F.count_if("missing_dkk_rate").alias("R06")), total(quality.orphans(paid, "source_order_id", facts, "order_id"), "R07"),
+        total(s.core_orders.where(F.coalesce("is_deleted", F.lit(False))).select("order_id").join(facts.select("order_id"), "order_id"), "R08"),
+        quality.key_excess(s.core_orders, ["order_id"], "R09"), ledger,
+    ]
+
+
+query("reconciliation_catalog", " UNION ALL ".join(f"SELECT '{k}' AS check_id, ({sql})::BIGINT AS exceptions" for k, sql in _RECON.items()), lambda s: quality.counted(_recon(s), "check_id", "exceptions"))
 _STATUS = """SELECT i.rate_date, i.base_currency, i.quote_currency, CASE WHEN c.record_hash IS NULL THEN 'missing' WHEN c.record_hash = i.record_hash AND day(i.rate_date) % 3 = 2 THEN 'exact'
   WHEN (c.retrieved_at, coalesce(c.source_extract_ts, TIMESTAMP '1900-01-01'), c.ingested_at, c.record_hash) > (i.retrieved_at, coalesce(i.source_extract_ts, TIMESTAMP '1900-01-01'), i.ingested_at, i.record_hash) THEN 'superseded' ELSE 'conflict' END AS status
   FROM winners i LEFT JOIN (SELECT * REPLACE (CASE WHEN day(rate_date) % 3 = 2 THEN record_hash ELSE 'other' END AS record_hash) FROM silver_target) c USING (rate_date, base_currency, quote_currency)"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
+from tidemark.operators import silver
 
 MONEY = "decimal(18,2)"
 Rows = Callable[[str], DataFrame]
@@ -47,6 +48,18 @@ def stg_payments(ledger: DataFrame) -> DataFrame:
     )
 
 
+def stg_orders_v1(ledger: DataFrame) -> DataFrame:
+    """The first version's staging: columns as they are, deleted rows too."""
+    return ledger.select("order_id", "customer_id", "order_status", F.col("order_ts").cast("date").alias("order_date"), "currency", "order_total", "updated_at", "source_lsn", "applied_at")
+
+
+def stg_payments_v1(ledger: DataFrame) -> DataFrame:
+    return ledger.select(
+        "payment_id", "order_id", "payment_status", F.col("payment_ts").cast("date").alias("payment_date"), "amount", "currency",
+        "authorization_code", "updated_at", "source_lsn", "applied_at",
+    )
+
+
 def stg_rates(silver: DataFrame) -> DataFrame:
     return silver.select(
         F.col("rate_date").cast("date").alias("rate_date"), F.upper("base_currency").alias("base_currency"),
@@ -62,23 +75,27 @@ def stg_locations(silver: DataFrame) -> DataFrame:
     )
 
 
-def int_orders_enriched(orders: DataFrame, rates: DataFrame, customers: DataFrame) -> DataFrame:
-    """Orders with the rate of their day, the home amount, and what is missing."""
+def _enriched(orders: DataFrame, rates: DataFrame, customers: DataFrame) -> DataFrame:
+    """Orders with the rate of their day, the home amount, what is missing, and ``_customer_sk``; customers are looked up once."""
     usable = rates.where((F.col("quote_currency") == X.HOME) & (F.col("rate") > 0)).select(
         F.col("rate_date").alias("order_date"), F.col("base_currency").alias("currency"), F.col("rate").alias("dkk_rate"),
         F.col("retrieved_at").alias("fx_retrieved_at"), F.col("source_extract_ts").alias("fx_source_extract_ts"),
         F.col("ingested_at").alias("fx_ingested_at"), F.col("record_hash").alias("fx_record_hash"),
     )
-    known = customers.select("customer_id", F.lit(True).alias("_known"))
+    known = customers.select("customer_id", X.surrogate_key(F.col("customer_id")).alias("_customer_sk"))
     joined = orders.join(usable, ["order_date", "currency"], "left").join(known, "customer_id", "left")
     return joined.select(
         *(orders.columns), "dkk_rate", "fx_retrieved_at", "fx_source_extract_ts", "fx_ingested_at", "fx_record_hash",
         X.in_home_currency(F.col("order_total"), F.col("currency"), F.col("dkk_rate")).alias("order_total_dkk"),
         F.coalesce((F.col("currency") != X.HOME) & F.col("dkk_rate").isNull(), F.lit(False)).alias("missing_dkk_rate"),
-        F.col("_known").isNull().alias("orphan_customer"),
+        F.col("_customer_sk").isNull().alias("orphan_customer"), "_customer_sk",
     )
 
 
+def int_orders_enriched(orders: DataFrame, rates: DataFrame, customers: DataFrame) -> DataFrame:
+    return _enriched(orders, rates, customers).drop("_customer_sk")
+
+
 def int_payments_enriched(payments: DataFrame, orders: DataFrame) -> DataFrame:
     of = orders.select("order_id", "customer_id", "order_date", F.lit(True).alias("_found"))
     joined = payments.join(of, "order_id", "left")
@@ -118,12 +135,16 @@ def dim_date_v1(orders: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def fct_orders(enriched: DataFrame, customers: DataFrame, dates: DataFrame) -> DataFrame:
-    joined = enriched.join(customers.select("customer_id", "customer_sk"), "customer_id", "left").join(
-        dates.select(F.col("date_day").alias("order_date"), "date_sk"), "order_date", "left"
-    )
-    return joined.select(
-        "order_id", "customer_sk", "date_sk", "customer_id", "order_date", "order_ts", "order_status",
+def _dated(frame: DataFrame, column: str, dates: DataFrame | None) -> DataFrame:
+    """``frame`` with the ``date_sk`` of a column: from ``dates``, or, as ``dim_date`` holds every observed day, from the day itself."""
+    if dates is None:
+        return frame.withColumn("date_sk", F.when(F.col(column).isNotNull(), X.surrogate_key(F.col(column))))
+    return frame.join(dates.select(F.col("date_day").alias(column), "date_sk"), column, "left")
+
+
+def fct_orders(orders: DataFrame, rates: DataFrame, customers: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    return _dated(_enriched(orders, rates, customers), "order_date", dates).select(
+        "order_id", F.col("_customer_sk").alias("customer_sk"), "date_sk", "customer_id", "order_date", "order_ts", "order_status",
         F.col("currency").alias("source_currency"), F.col("order_total").cast(MONEY).alias("source_order_total"),
         F.col("dkk_rate").cast("decimal(20,10)").alias("dkk_rate"), F.col("order_total_dkk").cast(MONEY).alias("order_total_dkk"),
         "missing_dkk_rate", "orphan_customer", "fx_retrieved_at", "fx_source_extract_ts", "fx_ingested_at", "fx_record_hash",
@@ -137,12 +158,9 @@ def order_keys(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return orders.select("order_id", "customer_id").join(customers.select("customer_id", "customer_sk"), "customer_id", "left").select("order_id", "customer_sk")
 
 
-def fct_payments(enriched: DataFrame, orders: DataFrame, dates: DataFrame) -> DataFrame:
+def fct_payments(enriched: DataFrame, orders: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     matched = orders.select(F.col("order_id"), F.col("order_id").alias("matched_order_id"), "customer_sk")
-    joined = enriched.join(matched, "order_id", "left").join(
-        dates.select(F.col("date_day").alias("payment_date"), "date_sk"), "payment_date", "left"
-    )
-    return joined.select(
+    return _dated(enriched.join(matched, "order_id", "left"), "payment_date", dates).select(
         "payment_id", "matched_order_id", F.col("order_id").alias("source_order_id"), "customer_sk", "date_sk", "payment_date",
         "payment_ts", "payment_status", F.col("currency").alias("source_currency"), F.col("amount").cast(MONEY).alias("source_amount"),
         "authorization_code", "orphan_order", F.col("updated_at").alias("source_updated_at"), "source_lsn",
@@ -222,10 +240,8 @@ def order_candidates(incoming: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def merge_orders(incoming: DataFrame, target: DataFrame) -> DataFrame:
-    """The target after the merge. What the feed lacks stays."""
-    candidates = order_candidates(incoming, target)
-    kept = target.join(candidates.select("order_id"), "order_id", "left_anti")
-    return kept.unionByName(candidates)
+    """The target after the merge, by one full outer join. What the feed lacks stays."""
+    return silver.upsert(target, incoming, ["order_id"], order_is_newer())
 
 
 def watermark_candidates(incoming: DataFrame, target: DataFrame) -> DataFrame:

@@ -28,13 +28,14 @@ ENTITIES = {
     "product_categories": Entity(("category_code", "category_name", "sort_order"), ("category_code",), None, whole="sort_order"),
     "devices": Entity(("device_id", "location_id", "device_type", "device_status", "updated_at"), ("device_id",), "updated_at"),
 }
-#: Fields that hold ISO timestamps wherever they occur.
+#: Fields that hold ISO timestamps wherever they occur.
 TIMESTAMPS = ("created_at", "updated_at", "order_ts", "payment_ts", "retrieved_at")
-#: Who may write what: reference entities come in batches, the others by change capture.
+#: Who may write what (reference entities come in batches, the others by change capture), versions, regions.
 BATCH_ENTITIES = ("exchange_rates", "locations")
 CDC_ENTITIES = ("customers", "products", "orders", "payments")
 BUSINESS_VERSION = {"exchange_rates": "retrieved_at", "locations": "updated_at"}
 COUNTRY_REGIONS = {"DK": "nordics", "NO": "nordics"}
+#: The columns of landed, silver and ledger rows.
 ENVELOPE = (
     "ingestion_id", "source_name", "source_entity", "source_record_key", "source_extract_ts",
     "ingested_at", "source_version", "source_locator", "record_hash",
@@ -59,6 +60,21 @@ LEDGER_COMMON = (
     "source_lsn string, source_lsn_int decimal(20,0), transaction_id string, transaction_record_id bigint, dms_operation string, "
     "source_event_at timestamp, applied_at timestamp, ingested_at timestamp, record_hash string, event_hash string, raw_event_json string"
 )
+#: One row shape for all change-captured entities, and each entity's part of it.
+WIDE = (
+    "entity", "customer_id", "customer_name", "email", "customer_status", "created_at", "preferred_language",
+    "product_id", "product_name", "category_code", "unit_price", "order_id", "order_status", "order_ts", "order_total",
+    "payment_id", "payment_status", "payment_ts", "amount", "currency", "authorization_code",
+    "source_lsn", "source_tx_id", "transaction_id", "transaction_total_order", "transaction_data_collection_order",
+    "source_event_ts", "kafka_topic", "kafka_partition", "kafka_offset", "applied_at",
+)
+NARROW = {
+    "customers": ("customer_id", "customer_name", "email", "customer_status", "created_at", "preferred_language"),
+    "products": ("product_id", "product_name", "category_code", "unit_price", "currency"),
+    "orders": ("order_id", "customer_id", "order_status", "order_ts", "currency", "order_total"),
+    "payments": ("payment_id", "order_id", "payment_status", "payment_ts", "amount", "currency", "authorization_code"),
+}
+#: Value domains.
 ACCEPTED = {
     "customer_status": ("ACTIVE", "INACTIVE", "SUSPENDED"),
     "order_status": ("created", "completed", "cancelled"),
