@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_cdc import record
 from test_landing import GOOD, context, landed
 
-from tidemark.operators import cdc
+from tidemark.operators import backfill, cdc
 from tidemark.schemas import WIDE
 from tidemark.sources import files, jdbc, publication, registry, rest
 from tidemark.sources.store import Exists, Store
@@ -250,3 +250,17 @@ def test_the_log_fans_out(spark, tmp_path):
     ledger = stream.Ledger(Store(spark, f"{tmp_path}/ledger"))
     stream.run(stream.lines(spark, f"{tmp_path}/nd"), ledger, f"{tmp_path}/c3").awaitTermination()
     assert [(r.pk, r.is_deleted) for r in ledger.state.read().orderBy("pk").collect()] == [("o1", True), ("o2", False)] and ledger.aside.read().count() == 2
+
+
+def test_seeds_and_bounds(spark, tmp_path):
+    (Path(tmp_path) / "rates.csv").write_text("day,rate\n2025-01-01,7.45\n")
+    seeds = files.seeds(spark, str(tmp_path), {"rates": "day date, rate decimal(10,4)"})
+    assert str(seeds["rates"].first()["rate"]) == "7.4500"
+    from datetime import datetime, timezone
+
+    at = lambda day: datetime(2025, 1, day, tzinfo=timezone.utc)
+    request = lambda **kw: backfill.Request(**({"run": "8f40746f-d3ce-52c7-9694-9f367cf03f40", "namespace": "silver", "start": at(1), "end": at(2), "manifest_keys": ("a", "b")} | kw))
+    backfill.check_request(request())
+    for wrong, token in (({"most_bytes": 0}, "payload_verification_bound_invalid"), ({"most_bytes": 1 << 40}, "payload_verification_bound_invalid"), ({"end": at(1)}, "invalid_expected_interval"), ({"run": "x"}, "invalid_validation_run_identity"), ({"namespace": "a-b"}, "invalid_namespace")):
+        with pytest.raises(backfill.BackfillError, match=token):
+            backfill.check_request(request(**wrong))

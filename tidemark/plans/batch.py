@@ -86,7 +86,7 @@ class Silver:
         manifests = []
         for key in request.manifest_keys:
             try:
-                manifest = verify(self.store, key)
+                manifest = verify(self.store, key, request.most_bytes)
             except ManifestError as error:
                 raise backfill.BackfillError(str(error)) from error
             start, end = (datetime.fromisoformat(manifest[k].replace("Z", "+00:00")) for k in ("interval_start", "interval_end"))

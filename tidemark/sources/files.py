@@ -106,3 +106,8 @@ def bronze(spark: SparkSession, root: str) -> DataFrame:
     """
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(root)
     return found.withColumns({c: F.try_to_timestamp(F.col(c).cast("string")) for c in ("source_extract_ts", "ingested_at") if c in found.columns})
+
+
+def seeds(spark: SparkSession, folder: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
+    """Small CSV tables that come with a project, by name: ``folder/name.csv`` in its schema; a value that does not fit fails the read."""
+    return {n: spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(f"{folder.rstrip('/')}/{n}.csv") for n, schema in schemas.items()}
