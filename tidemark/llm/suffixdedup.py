@@ -2,7 +2,7 @@
 
 What counts as long is a ``Measure``: ``BYTES`` are strings of 400 bytes, ``WORDS`` are 51 words
 in a row, whatever white space stands between them. A text is a row of symbols, its bytes or
-64-bit codes of its words; both kinds go through the same passes, with one shuffle of the texts.
+40-bit codes of its words; both kinds go through the same passes, with one shuffle of the texts.
 
 A string of ``length`` symbols that occurs twice holds, in both places, the same gram of least
 hash (leftmost of equals). So only suffixes that start at such grams, the anchors, need sorting:
@@ -31,6 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,13 +48,16 @@ class Measure:
     length: int
     gram: int
 
+    @property
+    def reach(self) -> int:
+        """Bytes of a gram."""
+        return self.gram * self.wide
+
 
 BYTES = Measure(0, 1, 400, 64)
 #: Passages of over 50 words.
-WORDS = Measure(1, 8, 51, 8)
+WORDS = Measure(1, 5, 51, 8)
 MEASURES = (BYTES, WORDS)
-#: Bytes of a gram, by either measure.
-GRAM = 64
 #: Symbols or bytes of text whose hashes are made at once, contexts of a sorted run.
 CHUNK, RUN = 1 << 18, 20_000
 #: Words of more bytes are coded one by one.
@@ -154,6 +158,11 @@ def sliding_least(keys: np.ndarray, wide: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n])
 
 
+def narrow(codes: np.ndarray) -> bytes:
+    """The low bytes of the codes, as many as a word's symbol has."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORDS.wide].tobytes()
+
+
 def anchors(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, ...]]:
     """(gram hash, text number, anchor, first window, last window) for texts at ``starts`` to ``ends`` of symbols; places within the text.
 
@@ -236,20 +245,20 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 def pack(run: list[tuple]) -> bytes:
-    """A sorted run (right, left, rid, anchor, known), front-coded."""
+    """A sorted run (right, left, key, anchor, known), front-coded, then compressed: left contexts share much, too."""
     shared, rests, before = [], [], b""
     for right, *_ in run:
         n = common(before, right)
         shared.append(n)
         rests.append(right[n:])
         before = right
-    return pickle.dumps((shared, rests, *map(list, zip(*(x[1:] for x in run)))), 5)
+    return zstandard.ZstdCompressor(1).compress(pickle.dumps((shared, rests, *map(list, zip(*(x[1:] for x in run)))), 5))
 
 
 def unpack(block: bytes) -> Iterator[tuple[int, tuple]]:
     """The run again, each entry with the prefix it shares with the one before."""
     right = b""
-    for n, rest, *others in zip(*pickle.loads(block)):
+    for n, rest, *others in zip(*pickle.loads(zstandard.ZstdDecompressor().decompress(block))):
         right = right[:n] + rest
         yield n, (right, *others)
 
@@ -350,7 +359,7 @@ def _second_pass(parts: int):
                     kind = gram & 1
                     if symbols[kind] is None:
                         data = np.frombuffer(symbols[0], np.uint8)
-                        symbols[kind] = word_codes(data, *word_bounds(data, np.zeros(0, int), np.zeros(0, int))).tobytes()
+                        symbols[kind] = narrow(word_codes(data, *word_bounds(data, np.zeros(0, int), np.zeros(0, int))))
                     data, measure = symbols[kind], MEASURES[kind]
                     key = data[at * measure.wide : (last + measure.length) * measure.wide], data[first * measure.wide : at * measure.wide], kind
                     held.setdefault(key, [(gram >> 1) % parts * 2 + kind, []])[1].append((rid << 1 | kind, at))
@@ -362,12 +371,13 @@ def _second_pass(parts: int):
 
 
 def _pairs(group: list[tuple], shared: list[int], length: int) -> Iterator[tuple[int, int, int]]:
-    wide = MEASURES[group[0][2] & 1].wide
+    measure = MEASURES[group[0][2] & 1]
+    wide = measure.wide
     for i, (right, left, *_) in enumerate(group):
         reach = len(right) // wide
         for j in range(i + 1, len(group)):
             reach = min(reach, shared[j])
-            if reach * wide < GRAM:
+            if reach < measure.gram:
                 break
             other = group[j]
             back = common(left[::-1], other[1][::-1]) // wide
@@ -438,7 +448,7 @@ def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans: list[tuple[int, int, int]] = []
         group, shared = [], []
         for n, x in merged([unpack(b) for b in blocks]):
-            if n < GRAM:
+            if n < MEASURES[x[2] & 1].reach:
                 spans += resolve(group, shared) if len(group) > 1 or (group and group[0][4]) else ()
                 group, shared = [], []
             group.append(x)
@@ -495,8 +505,8 @@ def _cut(measures: tuple[Measure, ...]):
 def repeats(rows: DataFrame, how: str, measures: tuple[Measure, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For a stored (rid, text, ...): digests (rid, n_bytes, sha) of all rows, the rows with their ``anchors``, and (rid, spans) of what repeats.
 
-    ``how`` joins rows and anchors: ``inner`` keeps the rows that have anchors, ``left`` all.
-    The joined rows are stored, so the texts are shuffled once. A span is (low, start, stop), in
+    All three are stored, and ``rows`` removed. ``how`` joins rows and anchors: ``inner`` keeps the rows that have anchors, ``left`` all.
+    The texts are shuffled once. A span is (low, start, stop), in
     symbols of the measure that ``low`` names.
     """
     texts = rows.select("rid", F.coalesce("text", F.lit("")).alias("text"))
@@ -508,14 +518,13 @@ def repeats(rows: DataFrame, how: str, measures: tuple[Measure, ...]) -> tuple[D
     twice = written(found.groupBy("gram").count().where("count > 1").select("gram"), "grams")
     # Stored, so that the anchors' shuffles are gone before the texts are shuffled.
     again = written(found.join(twice, "gram", "left_semi"), "again")
+    digests = written(passed.where("gram IS NULL").select("rid", "n_bytes", "sha"), "digests")
     discard(twice)
-    if how == "left":
-        discard(passed)
+    discard(passed)
     listed = again.groupBy("rid").agg(F.collect_list(F.struct("gram", "anchor", "first", "last")).alias("anchors"))
     joined = written(rows.join(listed, "rid", how), "suspects")
     discard(again)
-    if how == "left":  # the joined rows are all there is to them now
-        discard(rows)
+    discard(rows)  # the joined rows and the digests are all there is to them now
     suspects = joined.where("anchors IS NOT NULL")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
@@ -529,7 +538,9 @@ def repeats(rows: DataFrame, how: str, measures: tuple[Measure, ...]) -> tuple[D
     spans = spans.unionByName(runs.where("part IS NULL").select("key", "start", "stop"))
     low = F.col("key").bitwiseAND(1).cast("int").alias("low")
     spans = spans.groupBy(F.shiftright("key", 1).alias("rid")).agg(F.collect_list(F.struct(low, "start", "stop")).alias("spans"))
-    return passed.where("gram IS NULL").select("rid", "n_bytes", "sha"), joined, spans
+    spans = written(spans, "spans")
+    discard(runs)
+    return digests, joined, spans
 
 
 def _without(frame: DataFrame, measures: tuple[Measure, ...], *keep: str) -> DataFrame:
@@ -565,9 +576,10 @@ def op9(docs: DataFrame) -> DataFrame:
     also start anywhere else (the same document included), and n_passage_words, their words.
     """
     rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), "documents")
+    keys = written(rows.select("rid", "doc_id"), "keys")
     whole, joined, spans = repeats(rows, "inner", MEASURES)
     cut = _without(joined.select("rid", "text").join(spans, "rid"), (BYTES,), "rid").drop("kept")
-    found = rows.select("rid", "doc_id").join(whole, "rid").join(cut, "rid", "left")
+    found = keys.join(whole, "rid").join(cut, "rid", "left")
     counted = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
     return found.select(
         "doc_id", "n_bytes", counted("n_removed"), counted("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),
