@@ -387,9 +387,11 @@ def brute_repeats(texts, length=400):
         yield len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
-@pytest.mark.parametrize("pairs", [0, 16])
-def test_suffix_dedup(spark, pairs, monkeypatch):
+@pytest.mark.parametrize(("pairs", "hot"), [(0, 1 << 15), (16, 1 << 15), (16, 3), (0, 1)])
+def test_suffix_dedup(spark, pairs, hot, monkeypatch):
     monkeypatch.setattr(suffixdedup, "PAIRS", pairs)
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    monkeypatch.setattr(suffixdedup, "PASSED", 2)
     monkeypatch.setattr(suffixdedup, "RUN", 40)
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdefgh \n") for _ in range(2500)) for _ in range(4)]
@@ -424,10 +426,11 @@ def brute_passages(texts, length=51):
         yield [*zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
 
 
-@pytest.mark.parametrize("pairs", [0, 16])
-def test_passages(spark, pairs, monkeypatch):
+@pytest.mark.parametrize(("pairs", "hot"), [(0, 1 << 15), (16, 1 << 15), (16, 3), (0, 1)])
+def test_passages(spark, pairs, hot, monkeypatch):
     """Passages of 51 words, some under 400 bytes, go by words, whatever stands between them; what is shorter stays."""
     monkeypatch.setattr(suffixdedup, "PAIRS", pairs)
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     monkeypatch.setattr(suffixdedup, "RUN", 40)
     rng = random.Random(16)
     word = lambda: "".join(rng.choice("abcdeé中") for _ in range(rng.randint(1, 6)))

@@ -17,6 +17,7 @@ whose nodes keep the prefix known to be common with the last suffix out, so that
 is compared again. Neighbours that share the gram form a group. A window at offset o before the
 anchor repeats if another suffix of the group shares o symbols to the left and the rest to the
 right; the merge has left the prefix lengths, the left contexts are compared from their ends.
+A group of very many members is dealt out again by what its windows hold (``strips``).
 All comparisons are of symbols; a gram's hash only ever decides who meets.
 """
 
@@ -26,7 +27,7 @@ import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,10 @@ LONG_WORD = 1 << 16
 PART = 16 << 20
 #: Groups up to this size are compared pair by pair, larger ones by classes.
 PAIRS = 16
+#: Groups above HOT members do not stay in one task: they meet again by strips of offsets, ever
+#: narrower, until a strip is one window. PASSED of them go on at a time.
+HOT, PASSED = 1 << 15, 1 << 10
+SHARES = (8, 64, 1 << 10)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 CODES = np.random.default_rng(400).integers(1, 1 << 63, 256, np.uint64)
 PLACE = np.uint64((1 << 24) - 1)
@@ -322,35 +327,51 @@ def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def _second_pass(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rid, text, anchors) to sorted runs by part, and to what repeats inside a run (part null).
+class _Runs:
+    """Contexts (right, left) with where they stand, by what they are; full, they leave as sorted runs by part.
+
+    Equal contexts leave one of themselves, marked known, and what all of them repeat. A text is
+    known by ``rid`` and measure in one number, so that spans of one measure stay apart.
+    """
+
+    NAMES = ["part", "block", "key", "start", "stop"]
+    SCHEMA = "part int, block binary, key long, start int, stop int"
+
+    def __init__(self, parts: int):
+        self.parts, self.held = parts, {}
+
+    def add(self, right: bytes, left: bytes, by: int, key: int, at: int, known: bool = False) -> None:
+        kind = key & 1
+        same = self.held.setdefault((right, left, kind), [by % self.parts * 2 + kind, [], False])
+        same[1].append((key, at))
+        same[2] |= known
+
+    def flush(self) -> pa.RecordBatch:
+        runs: dict[int, list] = {}
+        spans = []
+        for (right, left, kind), (part, places, known) in self.held.items():
+            known, wide = known or len(places) > 1, MEASURES[kind].wide
+            runs.setdefault(part, []).append((right, left, *places[0], known))
+            if known:
+                spans += [(key, at - len(left) // wide, at + len(right) // wide) for key, at in places]
+        self.held.clear()
+        spans = united(spans)
+        blocks = [(part, pack(sorted(run))) for part, run in runs.items()]
+        n, m = len(blocks), len(spans)
+        key, start, stop = zip(*spans) if spans else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*(p for p, _ in blocks), *[None] * m], pa.int32()), pa.array([*(b for _, b in blocks), *[None] * m], pa.binary()),
+                pa.array([*[None] * n, *key], pa.int64()), pa.array([*[None] * n, *start], pa.int32()), pa.array([*[None] * n, *stop], pa.int32()),
+            ],
+            self.NAMES,
+        )
 
-        Inside, a text is known by ``rid`` and measure in one number, so that spans of one measure stay apart.
-        """
-        held: dict[tuple[bytes, bytes, int], list] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            runs: dict[int, list] = {}
-            spans = []
-            for (right, left, kind), (part, places) in held.items():
-                known, wide = len(places) > 1, MEASURES[kind].wide
-                runs.setdefault(part, []).append((right, left, *places[0], known))
-                if known:
-                    spans += [(key, at - len(left) // wide, at + len(right) // wide) for key, at in places]
-            held.clear()
-            spans = united(spans)
-            blocks = [(part, pack(sorted(run))) for part, run in runs.items()]
-            n, m = len(blocks), len(spans)
-            key, start, stop = zip(*spans) if spans else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*(p for p, _ in blocks), *[None] * m], pa.int32()), pa.array([*(b for _, b in blocks), *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *key], pa.int64()), pa.array([*[None] * n, *start], pa.int32()), pa.array([*[None] * n, *stop], pa.int32()),
-                ],
-                ["part", "block", "key", "start", "stop"],
-            )
 
+def _second_pass(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(rid, text, anchors) to sorted runs by part, and to what repeats inside a run (part null)."""
+        runs = _Runs(parts)
         for batch in trimmed(batches):
             for rid, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 symbols, found = [text.as_py().encode(), None], found.values
@@ -361,11 +382,42 @@ def _second_pass(parts: int):
                         data = np.frombuffer(symbols[0], np.uint8)
                         symbols[kind] = narrow(word_codes(data, *word_bounds(data, np.zeros(0, int), np.zeros(0, int))))
                     data, measure = symbols[kind], MEASURES[kind]
-                    key = data[at * measure.wide : (last + measure.length) * measure.wide], data[first * measure.wide : at * measure.wide], kind
-                    held.setdefault(key, [(gram >> 1) % parts * 2 + kind, []])[1].append((rid << 1 | kind, at))
-                if len(held) >= RUN:
-                    yield from flush()
-        yield from flush()
+                    right, left = data[at * measure.wide : (last + measure.length) * measure.wide], data[first * measure.wide : at * measure.wide]
+                    runs.add(right, left, gram >> 1, rid << 1 | kind, at)
+                if len(runs.held) >= RUN:
+                    yield runs.flush()
+        yield runs.flush()
+
+    return run
+
+
+def strips(right: bytes, left: bytes, measure: Measure, share: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """The contexts of each strip of offsets, a ``share``-th of all, with a hash of what all its windows hold.
+
+    A window at an offset from o to p holds the o symbols before the anchor and as many after it as
+    one at p does. So windows that are equal lie in strips that hash alike; and contexts cut to what a
+    strip's windows cover allow no other window.
+    """
+    w, length = measure.wide, measure.length
+    n, m, step = len(left) // w, len(right) // w, max(1, (length - measure.gram + 1) // share)
+    for o in range(0, length - measure.gram + 1, step):
+        p = o + step - 1
+        if max(o, length - m) <= min(p, n):
+            held = left[(n - o) * w :] + right[: max(measure.gram, length - p) * w]
+            yield right[: (length - o) * w], left[max(0, n - p) * w :], xxhash.xxh64_intdigest(held) >> 1
+
+
+def _strip_pass(parts: int, share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members (key, anchor, known, right, left) of large groups to runs by strip."""
+        runs = _Runs(parts)
+        for batch in trimmed(batches):
+            for key, at, known, right, left in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                for r, l, by in strips(right, left, MEASURES[key & 1], share):  # noqa: E741
+                    runs.add(r, l, by, key, at, known)
+                if len(runs.held) >= RUN:
+                    yield runs.flush()
+        yield runs.flush()
 
     return run
 
@@ -440,32 +492,56 @@ def resolve(group: list[tuple], shared: list[int]) -> Iterator[tuple[int, int, i
                 yield of, at - high, at - low + measure.length
 
 
-def _merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs, sorted by part, to the spans that repeat."""
-    here, blocks = None, []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        spans: list[tuple[int, int, int]] = []
-        group, shared = [], []
-        for n, x in merged([unpack(b) for b in blocks]):
-            if n < MEASURES[x[2] & 1].reach:
-                spans += resolve(group, shared) if len(group) > 1 or (group and group[0][4]) else ()
-                group, shared = [], []
-            group.append(x)
-            shared.append(n)
-        spans = united([*spans, *resolve(group, shared)])
-        key, start, stop = zip(*spans) if spans else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["key", "start", "stop"])
+MET = "key long, start int, stop int, anchor int, known boolean, right binary, left binary"
 
-    for batch in trimmed(batches):
-        for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if part != here and blocks:
-                yield from out()
-                blocks = []
-            here = part
-            blocks.append(block.as_py())
-    if blocks:
-        yield from out()
+
+def _merge_pass(most: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs, sorted by part, to the spans that repeat (right null). Members of groups above ``most`` go on as they are."""
+        names = [c.split(" ")[0] for c in MET.split(", ")]
+
+        def told(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            n = len(spans)
+            key, start, stop = zip(*spans) if spans else ((), (), ())
+            rest = [pa.nulls(n, kind) for kind in (pa.int32(), pa.bool_(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *rest], names)
+
+        def passed(group: list[tuple]) -> pa.RecordBatch:
+            right, left, key, at, known = zip(*group)
+            n = pa.nulls(len(group), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), n, n, pa.array(at, pa.int32()), pa.array(known, pa.bool_()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names)
+
+        def out(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+            spans: list[tuple[int, int, int]] = []
+            group, shared, large = [], [], False
+            for n, x in merged([unpack(b) for b in blocks]):
+                if n < MEASURES[x[2] & 1].reach:
+                    if large:
+                        yield passed(group) if group else told([])
+                    elif len(group) > 1 or (group and group[0][4]):
+                        spans += resolve(group, shared)
+                    group, shared, large = [], [], False
+                group.append(x)
+                shared.append(n)
+                if len(group) > (most if not large else PASSED):
+                    yield passed(group)
+                    group, shared, large = [], [], True
+            if large and group:
+                yield passed(group)
+            yield told(united(spans if large else [*spans, *resolve(group, shared)]))
+
+        here, blocks = None, []
+        for batch in trimmed(batches):
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != here and blocks:
+                    yield from out(blocks)
+                    blocks = []
+                here = part
+                blocks.append(block.as_py())
+        if blocks:
+            yield from out(blocks)
+
+    return run
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -529,17 +605,26 @@ def repeats(rows: DataFrame, how: str, measures: tuple[Measure, ...]) -> tuple[D
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0
     parts = max(parts, -(-many * 2 * BYTES.length // PART))
-    runs = written(
-        streamed(suspects.select("rid", "text", "anchors")).mapInArrow(_second_pass(parts), "part int, block binary, key long, start int, stop int"),
-        "runs",
-    )
-    dealt = runs.where("part IS NOT NULL").select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
-    spans = streamed(dealt).mapInArrow(_merge_pass, "key long, start int, stop int")
-    spans = spans.unionByName(runs.where("part IS NULL").select("key", "start", "stop"))
+    found, stored = [], []
+    source, how_to_run = suspects.select("rid", "text", "anchors"), _second_pass(parts)
+    for level in range(len(SHARES) + 1):
+        runs = written(streamed(source).mapInArrow(how_to_run, _Runs.SCHEMA), "runs")
+        dealt = runs.where("part IS NOT NULL").select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
+        met = written(streamed(dealt).mapInArrow(_merge_pass(HOT if level < len(SHARES) else float("inf")), MET), "met")
+        inside = written(runs.where("part IS NULL").select("key", "start", "stop"), "inside")
+        discard(runs)
+        stored += [met, inside]
+        found += [met.where("right IS NULL").select("key", "start", "stop"), inside]
+        source = met.where("right IS NOT NULL").select("key", "anchor", "known", "right", "left")
+        if level == len(SHARES) or source.isEmpty():
+            break
+        how_to_run = _strip_pass(parts, SHARES[level])
+    spans = reduce(DataFrame.unionByName, found)
     low = F.col("key").bitwiseAND(1).cast("int").alias("low")
     spans = spans.groupBy(F.shiftright("key", 1).alias("rid")).agg(F.collect_list(F.struct(low, "start", "stop")).alias("spans"))
     spans = written(spans, "spans")
-    discard(runs)
+    for table in stored:
+        discard(table)
     return digests, joined, spans
 
 
