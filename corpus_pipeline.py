@@ -21,7 +21,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of long repeats; ``n_chars`` follows the text."""
+    """All documents, without strings of 400 bytes and passages of over 50 words that repeat; ``n_chars`` follows the text."""
     cut = suffixdedup.remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
