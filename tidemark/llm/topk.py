@@ -7,9 +7,10 @@ times their impact, the largest first: each round takes all segments above a lev
 their products to the rows' accumulators and counts what each row has met.
 
 What a row has not met yet is less than the level, times the components left, in either
-direction. Rows whose most is below the k-th least are out; a query stops when few rows are
-left, and no earlier. These possible members are scored again over all components, in exact
-integers. The first block's k-th score goes with the query to all others, so most rows there
+direction. Rows whose most is below the threshold are out: the k-th of the rows' least, or of
+the exact scores of those that lead after the first round. A query stops when few rows are
+left, and no earlier; these possible members are scored again over all components, in exact
+integers. The k-th score in a query's own block goes with it to all others, so most rows there
 are out at once.
 """
 
@@ -30,9 +31,11 @@ from tidemark.llm.vectors import best, meetings, taking_part
 SCALE = 64
 K = 20
 #: Rows and components of a block (about), share of its rows that is few.
-BLOCK, CELLS, FEW = 16384, 1 << 20, 0.02
+BLOCK, CELLS, FEW = 16384, 1 << 20, 0.2
+#: Rows whose scores are made exact after the first round, for a threshold: so many times k.
+TRIED = 8
 #: Rounds end where this share of a query's postings is met.
-ROUNDS = (0.5, 0.65, 0.75, 0.85, 0.92)
+ROUNDS = (0.35, 0.45, 0.55, 0.65, 0.75, 0.85)
 #: Points by which the levels are found.
 POINTS = 64
 #: Sums below this are exact in floating point.
@@ -67,11 +70,14 @@ class Block:
         self.ids, self.vectors, self.rows = ids, vectors, quantised(vectors)
         self.n, self.d = self.rows.shape
         order = np.argsort(-np.abs(self.rows), axis=0, kind="stable")
-        self.places = np.ascontiguousarray(order.T.astype(np.int32))
+        self.places = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(self.rows, order, 0).T)
         self.impacts = np.abs(self.values)
+        self.rising = np.ascontiguousarray(self.impacts[:, ::-1])
         self.points = self.impacts[:, np.linspace(0, self.n - 1, min(POINTS, self.n)).astype(int)]
         self.most = self.impacts[:, 0].max()
+        # Rows and products of a round, one after the other; used again by every query.
+        self.at, self.adds = np.empty(self.rows.size, np.int64), np.empty(self.rows.size)
         by_id = np.argsort(ids, kind="stable")
         firsts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
         self.by_id, self.firsts = (by_id, firsts) if len(firsts) < len(ids) else (None, None)
@@ -92,27 +98,42 @@ class Block:
         if spread > 1e290:  # beyond what bounds in floating point can say
             return np.flatnonzero(~own)
         slack = 1e-9 * (spread + 1)  # rounding may not exclude a member
-        total, seen = np.zeros(self.n), np.zeros(self.n)
-        total[own] = -np.inf
+        # Adding this to each product counts the postings of a row in the same sum.
+        unit = float(1 << max(1, int(2 * spread + 1).bit_length()))
+        both = np.zeros(self.n)
+        if unit * (self.d + 1) >= EXACT:
+            return np.flatnonzero(~own)
         few = max(4 * k, int(FEW * self.n))
         done = np.zeros(self.d, np.int64)
+        total = np.where(own, -np.inf, 0.0)
         steps = np.sort((weight[active, None] * self.points[active]).ravel())[::-1]
         for number, share in enumerate((*ROUNDS, 1.0) if len(active) else ()):
             last = share == 1
             level = 0.0 if last else steps[min(int(share * len(steps)), len(steps) - 1)]
-            rows, adds = [], []
+            upto = done.copy()
             for c in active:
                 # Segments are taken whole: all rows of an impact that adds ``level`` or more.
-                to = self.n if last else int(np.searchsorted(-self.impacts[c], -level / weight[c], "right"))
-                if to > done[c]:
-                    rows.append(self.places[c, done[c] : to])
-                    adds.append(self.values[c, done[c] : to] * asked[c])
-                    done[c] = to
-            if rows:
-                at = np.concatenate(rows)
-                total += np.bincount(at, np.concatenate(adds), self.n)
-                seen += np.bincount(at, minlength=self.n)
+                upto[c] = self.n if last else max(done[c], self.impacts[c].size - int(np.searchsorted(self.rising[c], level / weight[c], "left")))
+            n = int((upto - done).sum())
+            at, adds, k0 = self.at[:n], self.adds[:n], 0
+            for c in active:
+                a, b = done[c], upto[c]
+                at[k0 : k0 + b - a] = self.places[c, a:b]
+                np.multiply(self.values[c, a:b], asked[c], out=adds[k0 : k0 + b - a])
+                k0 += b - a
+            done = upto
+            adds += unit
+            both += np.bincount(at, adds, self.n)
+            seen = np.rint(both / unit)
+            total = both - seen * unit
+            total[own] = -np.inf
             left = (len(active) - seen) * level + slack
+            if not number:
+                # Whatever the bounds say, the k-th of some exact scores is a threshold.
+                some = np.argpartition(total, -min(TRIED * k, self.n))[-min(TRIED * k, self.n) :]
+                tried = np.full(self.n, -np.inf)
+                tried[some] = np.where(own[some], -np.inf, self.rows[some] @ asked - slack)
+                least = max(least, self.edge(tried, k))
             floor = max(least, self.edge(total - left, k))
             may = total + left >= floor
             count = int(np.count_nonzero(may))
@@ -181,21 +202,23 @@ def search(frame: DataFrame, queries: Column, k: int = K, key: str = "vec_id", v
     own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     filed = rows.select(own.alias("block"), F.lit(0).cast("byte").alias("asks"), "vec_id", "vector", none.alias("least"))
 
-    def met(blocks_of: Column, asking: DataFrame, rows: DataFrame) -> DataFrame:
-        # The stated queries meet every block once, in streams.
-        asked = asking.select(F.explode(blocks_of).alias("block"), F.lit(1).cast("byte").alias("asks"), "vec_id", "vector", "least")
-        both = rows.unionByName(asked).select(F.xxhash64("block", size).alias("key"), "asks", "vec_id", "vector", "least")
+    def met(asking: DataFrame) -> DataFrame:
+        """(block, vec_id, vector, least) of queries, in streams, against the rows of their block."""
+        asked = asking.select("block", F.lit(1).cast("byte").alias("asks"), "vec_id", "vector", "least")
+        both = filed.unionByName(asked).select(F.xxhash64("block", size).alias("key"), "asks", "vec_id", "vector", "least")
         return streamed(both.repartition("key").sortWithinPartitions("key", "asks")).mapInArrow(scored, "query_id long, vec_id long, score long")
 
-    asking = rows.where("asks")
-    found = met(F.array(F.lit(0)), asking.withColumn("least", none), filed.where("block = 0"))
+    asking = rows.where("asks").withColumns({"own": own, "least": none})
+    # Each query meets the block it is filed in first, so the first meetings are spread like the rows.
+    found = met(asking.withColumn("block", F.col("own")))
     if blocks > 1:
-        found = written(found, "first-block")
+        found = written(found, "own-block")
         # The k-th score of a whole answer bounds the final one from below.
-        bound = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min("score").alias("edge")).where(F.col("n") >= k)
-        bound = bound.select(F.col("query_id").alias("vec_id"), (F.col("edge").cast("double") - F.abs(F.col("edge").cast("double")) * 1e-12).alias("least"))
-        asking = asking.join(bound, "vec_id", "left").withColumn("least", F.coalesce("least", none))
-        found = found.unionByName(met(F.sequence(F.lit(1), F.lit(blocks - 1)), asking, filed.where("block > 0")))
+        bound = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min("score").cast("double").alias("edge")).where(F.col("n") >= k)
+        bound = bound.select(F.col("query_id").alias("vec_id"), (F.col("edge") - F.abs("edge") * 1e-12).alias("bound"))
+        others = asking.join(bound, "vec_id", "left").withColumn("least", F.coalesce("bound", none))
+        others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("block") != F.col("own"))
+        found = found.unionByName(met(others))
     return best(found, k, F.col("score").desc(), F.max("score"))
 
 
