@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.util import streamed, trimmed
 
-#: Bytes of a leaf: ordinary words are longer.
-LEAF = 4
+#: Bytes of a leaf: many ordinary words are longer.
+LEAF = 8
 #: Windows of more bytes are merged by a heap.
 WIDE = 128
 #: Ids of a leaf when decoding.
@@ -55,6 +55,7 @@ class Codec(dict):
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.stable: dict[tuple[int, int], bool] = {}
+        self.leaves: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The merges alone: always the adjacent pair of least rank, the leftmost of equals."""
@@ -115,9 +116,17 @@ class Codec(dict):
             if before and after:
                 return left[:i] + window + right[j:]
 
+    def leaf(self, piece: bytes) -> list[int]:
+        found = self.leaves.get(piece)
+        if found is None:
+            if len(self.leaves) > REMEMBERED:
+                self.leaves.clear()
+            found = self.leaves[piece] = self.merge(piece)
+        return found
+
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF:
-            return self.merge(piece)
+            return self.leaf(piece)
         half = LEAF << ((len(piece) - 1) // LEAF).bit_length() - 1  # repeats of 2, 4, ... bytes then meet in step
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
