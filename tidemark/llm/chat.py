@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, END = "<s>[INST] ", " [/INST] ", " </s>"
 MARKS = r"/?s>|/?INST\]"
 SPOKEN = "assistant"
+#: Code points of a draft.
+DRAFT = 16
 #: Kinds after which nothing said before counts.
 AFRESH = ("message", "edit", "regenerate")
 
@@ -61,6 +63,7 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """A row a conversation: conv_id, formatted, loss_spans.
 
+    Empty messages are turns like any other; no message gives no conversation.
     A span is (turn, start, at, length): its turn from 0, its first code point in the
     whole string and in its turn, and its length, all after escaping.
     """
@@ -81,7 +84,7 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def parse(rendered: DataFrame) -> DataFrame:
-    """``rendered`` with ``turns`` (role, text) and ``loss`` (the text under the mask), both unescaped."""
+    """``rendered`` with ``turns`` (role, text) and ``loss`` (the text under the mask, empty if there is none), both unescaped."""
     pieces = rendered.withColumn("pieces", F.split("formatted", "</s>"))
     pieces = pieces.withColumn("pieces", F.slice("pieces", 1, F.size("pieces") - 1))
 
@@ -100,13 +103,37 @@ def parse(rendered: DataFrame) -> DataFrame:
 
 
 def from_table(conversations: DataFrame) -> DataFrame:
-    """The rows of ``conversations`` as events: each row is a whole message at its turn."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"
+    """The rows of ``conversations`` as the log of a chat that ended with them.
+
+    A row is a message at its place in its conversation, by turn, role and text, nulls last. What
+    a user says is typed in two pieces; what an assistant says is begun, thrown away and streamed
+    anew; what others say is drafted and then edited.
+    """
+    line = Window.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_last() for c in ("turn", "role", "text")))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    left, right, draft = F.left(text, half), F.substr(text, half + 1), F.left(text, F.lit(DRAFT))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), said.alias("text")) for n, (kind, said) in enumerate(events)))
+
+    typed = log(("message", left), ("delta", right))
+    streamed = log(("message", draft), ("regenerate", F.lit("")), ("delta", left), ("delta", right))
+    edited = log(("message", draft), ("edit", text))
+    events = F.when(F.col("role") == SPOKEN, streamed).when(F.col("role") == "user", typed).otherwise(edited)
+    placed = conversations.select("conv_id", F.row_number().over(line).alias("message_id"), "role", events.alias("events"))
+    return placed.select("conv_id", "message_id", "role", F.explode("events").alias("e")).select(
+        "conv_id", "message_id", F.col("e.step").alias("seq"), "e.kind", "role", "e.text"
     )
 
 
 def op4(conversations: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation, and of conversation -1.
+
+    Rows go by turn, then role, then text, nulls last; null texts and roles are empty; repeated
+    rows are turns of their own; rows without conv_id are one conversation. An empty table leaves
+    conversation -1. A conversation is one string, so its turns meet in one task.
+    """
     said = "</s>[INST] ok [/INST]"
     extra = conversations.sparkSession.sql(
         f"SELECT -1L conv_id, turn, role, '{said}' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
