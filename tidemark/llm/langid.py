@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import remainder, streamed, written
+from tidemark.llm.util import discard, remainder, streamed, written
 
 ORDER = 4
 START, END = 2, 3
 UNKNOWN = "und"
-#: Bounds of what is learned from: rows and distinct words of each language.
-ROWS, WORDS = 600, 60_000
+#: The bound of what is learned from: rows of each language.
+ROWS = 600
 #: One in so many sampled rows calibrates and is not learned from.
 CALIBRATE = 3
 REJECTED = 0.995
@@ -92,7 +92,8 @@ class Model:
                 where, there = _find(keys, _grams(codes, at[left] - 1, order - 1))
                 total[left[there]] += weights[where[there]]
             else:
-                total[left] += self.floor
+                # A symbol that no language has: what the empty context leaves, evenly.
+                total[left] += self.floor + self.contexts[0][1][0]
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         return np.add.reduceat(total.astype(np.float64), starts) if len(words) else total.astype(float), lengths
 
@@ -229,14 +230,28 @@ def confidence(model: Model, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 def sample(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """Up to ``rows`` rows of each language, by hash of the key: doc_id, text, lang, calibrates."""
+    """Up to ``rows`` keys of each language, by hash: doc_id, text, lang, calibrates; of rows that share a key the least text.
+
+    A language's keys are counted first; those whose hash cannot be among its first leave
+    before the rest are ranked, so a task ranks about twice ``rows`` of a language, however many it has.
+    """
     order = F.xxhash64("doc_id")
-    line = Window.partitionBy("lang").orderBy(order, "doc_id")
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = named.select("doc_id", "lang").withColumn("n", F.row_number().over(line)).where(F.col("n") <= rows)
+    ids = named.select("doc_id", "lang")
+    # Hashes are spread evenly: this share of them holds 2 * rows + 100 of a language's keys, give or take a few hundredths.
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 100) / F.approx_count_distinct("doc_id", 0.02))
+    # A row a language, as the model has a column for each; so the rest leave where they are read.
+    shares = {r["lang"]: r["share"] for r in ids.groupBy("lang").agg(share.alias("share")).collect()}
+    if not shares:
+        return named.select("doc_id", "lang", "text", F.lit(False).alias("calibrates"))
+    of = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
+    ids = ids.where((order / F.lit(2.0**64) + 0.5) <= of).distinct()
+    line = Window.partitionBy("lang").orderBy(order, "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(line)).where(F.col("n") <= rows)
     # rows x languages keys: a proven bound.
     ids = F.broadcast(ids.select("doc_id", "lang", (F.col("n") % CALIBRATE == 0).alias("calibrates")))
-    return named.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "inner")
+    taken = named.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "inner")
+    return taken.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.min("calibrates").alias("calibrates"))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +268,10 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model | None:
     """A calibrated model from the (doc_id, text, lang) of ``docs``; None if no row has a language and a letter."""
     taken = written(sample(docs, rows), "language-sample")
     counts = streamed(taken.where("NOT calibrates").select("text", "lang")).mapInArrow(_words, "lang string, word string")
-    counts = counts.groupBy("lang", "word").count()
-    line = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    kept = counts.withColumn("n", F.row_number().over(line)).where(F.col("n") <= WORDS).select("lang", "word", "count")
-    learned = kept.toPandas()
+    # Every word of the sampled rows counts: the rare ones set the discounts.
+    learned = counts.groupBy("lang", "word").count().orderBy("lang", "word").toPandas()
     if learned.empty:
+        discard(taken)
         return None
     model = train({x: ([*g["word"]], g["count"].to_numpy()) for x, g in learned.groupby("lang")})
 
@@ -269,6 +283,7 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model | None:
 
     seen = streamed(taken.where("calibrates").select("text", "lang")).mapInArrow(run, "lang string, n long, total array<double>")
     seen = seen.where("n > 0").toPandas()
+    discard(taken)
     seen = seen[seen["lang"].isin(model.languages)]
     model.limits = np.full(len(model.languages), np.inf)
     if len(seen):
@@ -291,9 +306,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, entropy, rejected for each row; the text alone decides.
 
     Null texts and texts without a letter are ``und`` with score 0. So is everything
-    where no language was learned. Repeated rows stay repeated; a null key stays.
+    where no language was learned. Of languages with equal cross-entropies the first by
+    name is taken. Repeated rows stay repeated; a null key stays; an empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ROWS and WORDS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ROWS
     frame = docs.select("doc_id", "text")
     schema = frame.select("doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected")).schema
 
@@ -316,7 +332,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """Learns from rows whose remainder by 4 is not 2, predicts every row."""
+    """doc_id, held_out, lang_pred, score, rejected: learns from rows whose remainder by 4 is not 2, predicts every row; see ``identify`` for odd rows."""
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
     found = identify(docs, model)
