@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import remainder, streamed, word_pieces, written
+from tidemark.llm.util import discard, remainder, streamed, trimmed, word_pieces, written
 
 TERMS = 2048
 DIMENSIONS = 48
@@ -32,6 +32,8 @@ LABELLED = 2000
 KEEP = 0.3
 #: Similarities count with this power, so near neighbours outweigh far ones.
 SHARPNESS = 4
+#: Similarities this close are equal: rounding differs between blocks.
+TIE = 1e-12
 BLOCK = 256
 REMEMBERED = 300_000
 RUNS = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}\p{M}]+"), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1"))
@@ -91,13 +93,15 @@ class Voters:
         return np.divide(at, length, out=np.zeros_like(at), where=length > 1e-12)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """The weighted vote for label 1, from 0 to 1; the prior where nothing is similar."""
+        """The weighted vote for label 1, from 0 to 1; the prior where nothing is similar.
+
+        All neighbours as similar as the last of the nearest vote with them, so ties need no order.
+        """
         near = self.place(rows) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** SHARPNESS
-        total = weight.sum(1)
-        votes = (weight * self.labels[top]).sum(1)
+        least = np.partition(near, -k, axis=1)[:, -k, None]
+        weight = np.where(near >= least - TIE, np.maximum(near, 0), 0) ** SHARPNESS
+        total, votes = weight.sum(1), weight @ self.labels
         return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior), 0, 1)
 
 
@@ -117,7 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters
             yield pa.RecordBatch.from_arrays(columns, ["quality", "term", "share"])
 
     found = streamed(taken.select("text", F.col("quality").cast("int").alias("quality"))).mapInArrow(run, "quality int, term array<int>, share array<double>")
-    found = written(found, "labelled").orderBy("quality", "term", "share").toPandas()
+    stored = written(found, "labelled")
+    found = stored.orderBy("quality", "term", "share").toPandas()
+    discard(stored)
     if found.empty:
         return None
     rows = np.zeros((len(found), TERMS))
@@ -148,7 +154,7 @@ def score(docs: DataFrame, voters: Voters | None, keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shapes = held.value, Shapes()
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = batch.column(len(names) - 1)
             of = np.full(batch.num_rows, 0.5)
             for k in range(0, batch.num_rows if own else 0, BLOCK):
@@ -159,14 +165,18 @@ def score(docs: DataFrame, voters: Voters | None, keep: tuple[str, ...] = ("doc_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with their own columns."""
+    """The rows of ``docs`` that score at least ``least``, with their own columns, whatever their names.
+
+    Null and wordless texts score the sample's mean label and stay or go by it; repeated rows
+    do so alike; without labels all rows stay. An empty table gives an empty result.
+    """
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
     scored = score(rows, fit(docs.select("doc_id", "text"), labels), keep=("row",))
     return scored.where(F.col("score") >= least).select("row.*")
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learns from labels whose key's remainder by 5 is not 0, scores every row."""
+    """doc_id, held_out, score, predicted: learns from labels whose key's remainder by 5 is not 0, scores every row; see ``score`` for odd rows."""
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     voters = fit(docs, labels.where(~held_out))
     return score(docs, voters).select(
