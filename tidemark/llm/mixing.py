@@ -25,8 +25,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEAT = 2
 SEED = "mix-1"
-#: Bins of one size; more only cost counts.
-BINS = 64
+#: Bins of one size; more only cost counts. A bin's rows are cut further, by ranges of the key, so that a range has about RANGE rows of all sizes.
+BINS, RANGE = 64, 1 << 22
+#: Rates and offsets are whole multiples of one part in UNIT, so sums along the line are exact at any length.
+UNIT = 1 << 32
 
 
 def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -62,11 +64,15 @@ def plan(rows: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """(rid, doc_id, source, size, ...) with ``source_size``, ``target`` and ``copies`` added.
 
     A source without words has target 0 and is taken never. Rows of one bin stand by
-    (doc_id, rid); a null doc_id stands first. ``rows`` are read twice, for the counts and
-    for the places, and are shuffled once, with whatever they carry.
+    (doc_id, rid); a null doc_id stands first. ``rows`` are read three times, for the range of
+    the keys, the counts and the places, and are shuffled once, with whatever they carry.
     """
-    key = ["src", "class", "size", "bin"]
-    wide = rows.withColumns(
+    key = ["src", "class", "size", "bin", "range"]
+    span = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    low, wide_by = int(span[1] or 0), max(1, -(-(int(span[2] or 0) - int(span[1] or 0) + 1) * RANGE // max(1, span[0])))
+    # Rows without a key stand first, in the order of ``rid``, and are cut by its upper half.
+    ranges = F.when(F.col("doc_id").isNull(), F.shiftright("rid", 33) - (1 << 40)).otherwise(F.floor((F.col("doc_id").cast("decimal(38,0)") - low) / wide_by).cast("long"))
+    wide = rows.withColumn("range", ranges).withColumns(
         {
             "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
             "class": F.when(F.col("size") > 0, F.floor(8 * F.log2(F.col("size")))).otherwise(-1).cast("int"),
@@ -79,22 +85,22 @@ def plan(rows: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     by_class = counts.groupBy("src", "class").agg(F.sum("n").alias("n"))
     line = Window.partitionBy("src").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     by_class = by_class.select("src", "class", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("class_first"))
-    inner = Window.partitionBy("src", "class").orderBy("size", "bin").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("src", "class").orderBy("size", "bin", "range").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.select(*key, F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("bin_first"))
 
     totals = counts.groupBy("src").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goal = targets(totals, **shares)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "src")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "src")), 1, 8), 16, 10).cast("decimal(20,0)")
+    rate = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * float(UNIT)).cast("decimal(12,0)")
     goal = goal.withColumns({"rate": rate, "offset": draw})
 
     places = bins.join(by_class, ["src", "class"]).join(goal, "src")
     places = places.withColumn("first", F.col("class_first") + F.col("bin_first")).drop("class_first", "bin_first")
     own = Window.partitionBy(*key).orderBy("doc_id", "rid")
     placed = wide.withColumn("place", F.row_number().over(own)).join(places, key)
-    at = F.col("first") + F.col("place")
-    crossed = F.floor(F.col("offset") + at * F.col("rate")) - F.floor(F.col("offset") + (at - 1) * F.col("rate"))
-    return placed.select(*rows.columns, "source_size", "target", crossed.cast("long").alias("copies"))
+    placed = placed.withColumn("at", (F.col("first") + F.col("place")).cast("decimal(18,0)"))
+    crossed = lambda upto: F.expr(f"(offset + {upto} * rate) DIV CAST({UNIT} AS DECIMAL(10,0))")
+    return placed.select(*rows.columns, "source_size", "target", (crossed("at") - crossed("(at - 1)")).alias("copies"))
 
 
 def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -107,7 +113,10 @@ def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 def mix(docs: DataFrame, **shares) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all their columns.
 
-    ``docs`` are read twice: give stored rows, not a plan that may change.
+    ``docs`` are read twice: give stored rows, not a plan that may change. Null and wordless
+    texts have size 0; a source without words is never taken, but a wordless text of another
+    source may be. Null sources are one source. Repeated rows are rows of their own; an empty
+    table gives an empty result.
     """
     rows = docs.select(
         F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
