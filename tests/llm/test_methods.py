@@ -157,6 +157,29 @@ def test_recall_with_a_second_turn(spark, monkeypatch):
     assert hit / (10 * len(found)) >= 0.9 and len(found) == 120
 
 
+@pytest.mark.parametrize("copies", [1, 60])
+def test_few_pairs_reach_the_vectors(spark, monkeypatch, copies):
+    """What a query hands on follows its answers, neither the buckets it looks into nor the copies of what is there."""
+    monkeypatch.setattr(ann, "BUCKET", 8)
+    monkeypatch.setattr(ann, "LOOK", 256)
+    x = np.tile(unit(np.random.default_rng(6), 6000 // copies, 32), (copies, 1))
+    counted, real = [], ann._measured
+    monkeypatch.setattr(ann, "_measured", lambda rows, queries, maybe, k: counted.append(maybe.count()) or real(rows, queries, maybe, k))
+    table = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    found = defaultdict(list)
+    for r in ann.op5(table).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 100):
+        near = ((x - x[q]) ** 2).sum(1)
+        near[q] = np.inf
+        exact = np.argsort(near, kind="stable")[:10].tolist()
+        assert copies == 1 or found[q] == exact
+        hit += len({*exact} & {*found[q]})
+    assert hit >= 0.9 * 10 * len(found) and len(found) == 60
+    assert counted[0] <= 60 * 10 * 40
+
+
 def test_codes_say_how_far_off_they_are():
     x = unit(np.random.default_rng(4), 200, 48) * np.logspace(-100, 100, 200)[:, None]
     codes, step, off = ann.coded(x)
