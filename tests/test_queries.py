@@ -6,7 +6,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import exprs as X
 from tidemark.operators import silver
 from tidemark.plans import catalogue, oracles
 from tidemark.streaming import cdc as stream
@@ -66,6 +68,19 @@ def test_whole_job(spark, duck, name):
     assert sorted((tuple(plain(x) for x in r) for r in ours), key=str) == sorted((tuple(plain(x) for x in r) for r in found.fetchall()), key=str)
 
 
+def test_positions_of_over_32_bits(spark, duck, tmp_path):
+    keys = [0, 65534, 65535, 65536, 99_999, 6_000_000, 1 << 40, 1 << 46]
+    rows = duck.sql(f"SELECT * REPLACE ({keys}[row_number() OVER ()] AS event_id, 1000000 - user_id AS user_id) FROM events LIMIT {len(keys)}")
+    rows.write_parquet(f"{tmp_path}/events.parquet")
+    mine = catalogue.QUERIES["lsn_parse"](spark, str(tmp_path)).select("event_id", "lsn_text", "lsn").collect()
+    whole = catalogue.ORACLES["lsn_parse"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")
+    theirs = duck.sql(f"SELECT event_id, lsn_text, lsn FROM ({whole})").fetchall()
+    assert sorted(map(tuple, mine)) == sorted(theirs) and len(theirs) == len(keys)
+    texts = ["FFFFFFFF/FFFFFFFF", "0/100000000", "123456789/1", "1/12345678901234567", "1/", "x/1", None]
+    found = spark.createDataFrame([(n, x) for n, x in enumerate(texts)], "n int, t string").select("n", X.lsn(F.col("t")), X.stream_position(F.col("t"))).collect()
+    assert [tuple(r)[1:] for r in sorted(found)] == [(2**64 - 1, 2**64 - 1), (2**32, None)] + [(None, None)] * 5
+
+
 def test_numbered(spark):
     keys = [k * k % 7919 for k in range(3000)]
     keys = [*dict.fromkeys(keys), None]

@@ -172,7 +172,7 @@ def parse_row_records(raw: DataFrame, schema: str = "commerce") -> DataFrame:
         (F.col("e.data").isNull(), "missing_data"),
         (pk.isNull() | (F.trim(pk) == ""), "missing_primary_key"),
         ((operation != "delete") & (F.size(missing) > 0), F.concat(F.lit("missing_business_fields:"), F.concat_ws(",", missing))),
-        (stream & X.lsn(m("stream-position")).isNull(), "missing_or_invalid_stream_position"),
+        (stream & X.stream_position(m("stream-position")).isNull(), "missing_or_invalid_stream_position"),
         (stream & (m("transaction-id").isNull() | m("transaction-record-id").isNull()), "missing_transaction_order"),
         (stream & (record.isNull() | (record < 0)), "invalid_transaction_record_id"),
     ])
@@ -182,7 +182,7 @@ def parse_row_records(raw: DataFrame, schema: str = "commerce") -> DataFrame:
     position = F.struct(phase.alias("phase"), on_stream(F.upper(m("stream-position"))).alias("at"), on_stream(m("transaction-id")).alias("tx"), on_stream(record).alias("rec"))
     return e.select(
         *raw.columns, table.alias("entity"), pk.alias("pk"), operation.alias("op"), phase.alias("phase"),
-        on_stream(X.lsn(m("stream-position"))).alias("lsn"), on_stream(m("transaction-id")).alias("tx"), on_stream(record).alias("rec"),
+        on_stream(X.stream_position(m("stream-position"))).alias("lsn"), on_stream(m("transaction-id")).alias("tx"), on_stream(record).alias("rec"),
         F.coalesce(m("commit-timestamp"), m("timestamp")).alias("source_event_at"), F.col("e.data").alias("data"),
         content.alias("record_hash"), F.sha2(F.to_json(F.struct(table.alias("entity"), pk.alias("pk"), operation.alias("op"), position.alias("position"), content.alias("record_hash"))), 256).alias("hash"),
         reason.alias("reason"),
