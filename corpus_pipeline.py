@@ -33,11 +33,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their ``token_ids``, which are decoded here and must give the text; the stage fails if not."""
-    encoded = bpe.encode(docs)
-    rows = encoded.select(F.struct(*(encoded[f"`{c}`"] for c in encoded.columns)).alias("row"), "token_ids")
-    same = F.col("decoded") == F.coalesce("row.text", F.lit("")).cast("binary")
+    columns = [c for c in docs.columns if c != "token_ids"]
+    others = [docs[f"`{c}`"] for c in columns if c != "text"] or [F.lit(0).alias("_")]
+    packed = docs.select(F.struct(*others).alias("row"), docs["text"].alias("text"))
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     wrong = F.raise_error(F.lit("token ids do not decode to the text")).cast("boolean")
-    return bpe.decode(rows).where(F.when(same, True).otherwise(wrong)).select("row.*")
+    checked = bpe.decode(bpe.encode(packed)).where(F.when(same, True).otherwise(wrong))
+    return checked.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns), "token_ids")
 
 
 STAGES = [

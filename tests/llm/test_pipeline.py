@@ -55,3 +55,22 @@ def test_tokens_are_decoded(spark, monkeypatch):
     monkeypatch.setattr(bpe, "decode", lambda d: d.withColumn("decoded", F.lit(b"other")))
     with pytest.raises(Exception, match="do not decode to the text"):
         corpus_pipeline.tokens(spark, docs, SF).collect()
+
+
+def test_tokens_take_one_worker_a_task(spark):
+    passes = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert passes(corpus_pipeline.tokens(spark, read(spark, SF, "documents"), SF)) == 1
+    docs = spark.createDataFrame([(1, "é a", 7, "x"), (2, None, 7, "y"), (3, "", None, None), (None, "don't", 1, "z")], "doc_id long, text string, n int, s string").toDF("doc_id", "text", "a.b", "_")
+    found = corpus_pipeline.tokens(spark, docs, SF)
+    assert passes(found) == 1 and found.columns == ["doc_id", "text", "a.b", "_", "token_ids"]
+    codec = bpe.codec(*bpe.vocabulary())
+    assert {tuple(r)[:4]: r.token_ids for r in found.collect()} == {tuple(r): codec.encode(r.text) for r in docs.collect()}
+    # Ids of other origin, and those that were changed since, are decoded as they stand.
+    encoded = bpe.encode(docs.select("doc_id", "text", "_"))
+    some = bpe.decode(encoded.where("doc_id = 1").select("doc_id", F.slice("token_ids", 1, 1).alias("token_ids")))
+    assert passes(some) == 2 and [bytes(r.decoded) for r in some.collect()] == [codec.decode(codec.encode("é a")[:1])]
+    again = bpe.decode(bpe.decode(encoded))
+    assert again.columns == ["doc_id", "text", "_", "token_ids", "decoded"]
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in again.collect())
+    only = corpus_pipeline.tokens(spark, docs.select(F.lit("old").alias("token_ids"), "text"), SF)
+    assert only.columns == ["text", "token_ids"] and sorted(len(r.token_ids) for r in only.collect()) == sorted(len(codec.encode(r.text)) for r in docs.collect())

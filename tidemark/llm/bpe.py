@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import streamed, trimmed
+from tidemark.llm.util import mapped, streamed, trimmed
 
 #: Bytes of a leaf: many ordinary words are longer.
 LEAF = 8
@@ -206,14 +206,17 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
                 ids = pa.array([own.encode(x.as_py()) for x in part.column(at)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*rest, "token_ids"])
 
-    return streamed(frame).mapInArrow(run, schema)
+    return mapped(frame, run, schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "token_ids") -> DataFrame:
-    """``docs`` with ``decoded``, the bytes of ``ids``; null ids give empty bytes."""
+    """``docs`` with ``decoded``, the bytes of ``ids``; null ids give empty bytes.
+
+    What ``encode`` returned is decoded in the same pass, by the same worker.
+    """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     rest = [c for c in docs.columns if c != "decoded"]
-    frame = docs.select(*(docs[f"`{c}`"] for c in rest))
+    frame = docs.select(*(docs[f"`{c}`"] for c in rest)) if len(rest) < len(docs.columns) else docs
     schema = frame.withColumn("decoded", F.lit(b"")).schema
     at = rest.index(ids)
 
@@ -223,7 +226,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "token_ids") ->
             texts = pa.array([own.decode(x.as_py() or ()) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*rest, "decoded"])
 
-    return streamed(frame).mapInArrow(run, schema)
+    return mapped(frame, run, schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
